@@ -15,6 +15,7 @@ table gives an empty result; other columns of the table, whatever their names, a
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import heapq
 import json
@@ -25,7 +26,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 
 END = "</w>"
 #: Characters of a text that are taken in at a time.
@@ -40,9 +40,6 @@ SPACES = frozenset(" \n\t")
 #: A pre-token longer than this goes through the window, character by character.
 LONG = 2048
 
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-
-
 def byte_chars() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,12 +48,24 @@ def byte_chars() -> list[str]:
 
 
 def latin_pattern() -> re.Pattern:
-    """WORDS for texts within Latin-1, where the standard library's faster matcher has the same classes written out."""
+    """What a word is in texts within Latin-1."""
     kinds = {k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
     space = re.escape("\t\n\x0b\x0c\r \x85\xa0")
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{space}{kinds['L']}{kinds['N']}]+")
 
 
+def any_pattern() -> re.Pattern:
+    """What a word is in any text, with the classes as the tokenizers library has them; Unicode versions differ between matchers."""
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    kinds = {}
+    for name, kind in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s")):
+        split = pre_tokenizers.Split(Regex(kind + "+"), "removed", invert=True)
+        kinds[name] = "".join(f"{re.escape(t[0])}-{re.escape(t[-1])}" for t, _ in split.pre_tokenize_str(every))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{kinds['S']}{kinds['L']}{kinds['N']}]+")
+
+
 class MergeList:
     """Vocabulary and merges of a BPE file of the tokenizers library."""
 
@@ -177,9 +186,19 @@ class Encoder:
         self.names = names | {i: t for t, i in self.special.items()}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.mark_len = max(map(len, self.special), default=1)
-        self.latin, self.any = latin_pattern(), regex.compile(WORDS)
+        self.latin = latin_pattern()
         self.runs = _Kept(self._run)
 
+    @functools.cached_property
+    def any(self) -> re.Pattern:
+        return any_pattern()
+
+    @functools.cached_property
+    def normal(self):
+        from tokenizers import normalizers
+
+        return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(self.pieces(text[i : i + CHUNK] for i in range(0, len(text), CHUNK))), "<u4")
 
@@ -238,29 +257,24 @@ class Encoder:
     def _plain(self, s: str, word, out: list[bytes], open_end: bool):
         if not s:
             return word
-        if not s.isascii() and not unicodedata.is_normalized("NFC", s):
-            s = unicodedata.normalize("NFC", s)
-        if word is None and not open_end and not ODD.search(s):
-            s = s.lower() if "Σ" not in s else "".join(c.lower() for c in s)
-            out.append(b"".join(map(self.runs.__getitem__, STOPS.sub(r" \1", s).split())))
-            return None
         try:
             s.encode("latin-1")
-            latin = True
+            latin, s = True, s.lower()
         except UnicodeEncodeError:
-            latin = False
-        lower = s.lower() if "Σ" not in s else "".join(c.lower() for c in s)
-        # Lower case leaves Latin-1 only for a few characters of it, none of which it has.
-        found = (self.latin if latin else self.any).findall(lower)
+            latin, s = False, self.normal(s)
+        if word is None and not open_end and not ODD.search(s):
+            out.append(b"".join(map(self.runs.__getitem__, STOPS.sub(r" \1", s).split())))
+            return None
+        found = (self.latin if latin else self.any).findall(s)
         if word is not None and found:
-            joins = lower.startswith(found[0]) and word.kind == self._kind(found[0][0])
+            joins = s.startswith(found[0]) and word.kind == self._kind(found[0][0])
             if joins:
                 head = found.pop(0)
                 out.append(np.array(list(word.feed(head.encode())), "<u4").tobytes())
-                if open_end and not found and lower.endswith(head):
+                if open_end and not found and s.endswith(head):
                     return word
         word = self._close(word, out)
-        if open_end and found and lower.endswith(found[-1]) and self._kind(found[-1][-1]) != "N":
+        if open_end and found and s.endswith(found[-1]) and self._kind(found[-1][-1]) != "N":
             tail = found.pop()
             word = WordTransducer(self.merges)
             word.kind = self._kind(tail[0])
