@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from orbweft.llm import bpe
+from orbweft.llm import bpe, hilbert, mpegts
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1_bpe_codec,
+    "op6_hilbert_shards": hilbert.op6_hilbert_shards,
+    "op9_mpegts_media": mpegts.op9_mpegts_media,
 }
 ORACLES: dict[str, str] = {}
