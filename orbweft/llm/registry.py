@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from orbweft.llm import bpe, hilbert, mpegts
+from orbweft.llm import bpe, hilbert, mpegts, packing, warc
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1_bpe_codec,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
+    "op7_vector_packing": packing.op7_vector_packing,
     "op9_mpegts_media": mpegts.op9_mpegts_media,
+    "op10_warc_normaliser": warc.op10_warc_normaliser,
 }
 ORACLES: dict[str, str] = {}
