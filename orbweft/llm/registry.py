@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from orbweft.llm import bpe, hilbert, mpegts, packing, warc
+from orbweft.llm import bpe, hilbert, jaccard, mpegts, packing, warc
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1_bpe_codec,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
     "op7_vector_packing": packing.op7_vector_packing,
     "op9_mpegts_media": mpegts.op9_mpegts_media,
