@@ -187,6 +187,16 @@ def op2_fuse_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), later_half(F.col("doc_id")))
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """One row of docs for each text, with its columns: that with the largest doc_id, the smallest row if several have it."""
+    stay = deduplicated(docs, later_half(F.col("doc_id"))).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("sha"))
+    match = lambda k: rows.id.eqNullSafe(k.doc_id) & (rows.sha == k.text_sha256)
+    once, again = stay.where("n = 1"), stay.where("n > 1")
+    several = rows.join(again, match(again), "left_semi").groupBy("id", "sha").agg(F.min("row").alias("row"))
+    return rows.join(once, match(once), "left_semi").select("row.*").union(several.select("row.*"))
+
+
 OP2_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256

@@ -392,6 +392,17 @@ def joined(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("low", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_id"))
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay when each component keeps its smallest doc_id, with their columns.
+
+    A doc_id that several rows have stays with all of them if any of them is its component's smallest.
+    """
+    found = joined(docs)
+    gone = found.where("component_id IS NOT NULL").groupBy("doc_id").agg(F.min((F.col("component_id") < F.col("doc_id")).cast("int")).alias("g")).where("g = 1").select(F.col("doc_id").alias("id"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, "id", "left_anti").select("row.*")
+
+
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """All documents joined on five-word shingles at a similarity of 0.8."""
     return joined(table(spark, sf_dir, "documents"))

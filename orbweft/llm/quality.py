@@ -182,3 +182,13 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op8_quality_neighbours(spark, sf_dir: str) -> DataFrame:
     """The quality of every document."""
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are predicted to have label 1, with their columns; all where there is no label."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    model = train(rows, known, F.lit(True))
+    if not len(model.vectors):
+        return docs
+    return scores(rows, model, ["row"]).where(F.col("score") >= THRESHOLD).select("row.*")
