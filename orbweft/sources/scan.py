@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 from pathlib import PurePosixPath
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +59,34 @@ def ignored(path: F.Column, rules: list[tuple[str, str]]) -> F.Column:
 def scan(spark: SparkSession, root: str, *, max_bytes: int = MAX_BYTES, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """path, size, modified, text of a repository's readable files.
 
-    Sizes and names are filtered before contents are read. Ignore files found on the way add to the rules given.
+    The listing comes first, as Spark's readers leave out names with a leading dot; sizes and names are filtered before
+    any content is read, and contents are read by the executors. Ignore files add to the rules given.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
-    top = re.sub("^file:/+", "/", root).rstrip("/") + "/"
-    base = base.where(F.col("path").startswith(top)).withColumn("path", F.substring("path", len(top) + 1, 1 << 20))
-    skipped = rf"(^|/)({'|'.join(map(re.escape, SKIPPED))})/"
-    base = base.where(~F.col("path").rlike(skipped))
-    found = base.where(F.col("path").rlike(r"(^|/)\.gitignore$")).select("path", F.decode("content", "UTF-8").alias("text")).collect()  # a line is a rule: small
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    fs, top = pafs.FileSystem.from_uri(uri)
+    top = top.rstrip("/") + "/"
+    found = [f for f in fs.get_file_info(pafs.FileSelector(top, recursive=True)) if f.is_file]
+    listed = [(f.path.removeprefix(top), f.size, f.mtime) for f in sorted(found, key=lambda f: f.path)]
     all_rules = list(rules or [])
-    for r in sorted(found, key=lambda r: (r.path.count("/"), r.path)):
-        folder = str(PurePosixPath(r.path).parent)
-        all_rules += [("" if folder == "." else folder, x) for x in r.text.splitlines()]
-    kept = base.where((F.col("size") > 0) & (F.col("size") <= max_bytes) & ~ignored(F.col("path"), all_rules))
-    return kept.select("path", "size", "modified", F.decode("content", "UTF-8").alias("text"))
+    for path, _, _ in sorted(listed, key=lambda x: (x[0].count("/"), x[0])):
+        if path.rsplit("/", 1)[-1] == ".gitignore":
+            folder = str(PurePosixPath(path).parent)
+            with fs.open_input_stream(top + path) as f:
+                all_rules += [("" if folder == "." else folder, x) for x in f.read().decode("utf-8", "replace").splitlines()]
+    base = spark.createDataFrame(listed, "path string, size long, modified timestamp")
+    skipped = rf"(^|/)({'|'.join(map(re.escape, SKIPPED))})/"
+    kept = base.where((F.col("size") > 0) & (F.col("size") <= max_bytes) & ~F.col("path").rlike(skipped) & ~ignored(F.col("path"), all_rules))
+
+    def read(frames):
+        own, below = pafs.FileSystem.from_uri(uri)
+        for f in frames:
+            text = []
+            for path in f["path"]:
+                with own.open_input_stream(f"{below.rstrip('/')}/{path}", compression=None) as source:
+                    text.append(source.read().decode("utf-8", "replace"))
+            yield f.assign(text=text)
+
+    return kept.mapInPandas(read, "path string, size long, modified timestamp, text string")
 
 
 def diff_ranges(lines: DataFrame) -> DataFrame:
