@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweft.session import stored
+
 CLASS_KINDS = ("class", "interface", "struct", "enum", "trait", "type_alias")
 CALLABLE_KINDS = ("function", "method", "constructor", "macro", "test")
 PASSABLE_KINDS = ("function", "method")
@@ -85,12 +87,14 @@ def bindings(imports: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, local_types: DataFrame, supers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, unresolved). imports carry resolved. Edges: src, dst, kind, file, line, resolver, confidence."""
-    refs = refs.withColumn("ref", F.concat_ws("|", "file", F.col("pos").cast("string"))).withColumn("family", family(F.col("language")))
+    refs = stored(refs.withColumn("ref", F.concat_ws("|", "file", F.col("pos").cast("string"))).withColumn("family", family(F.col("language"))), "refs")
+    symbols = stored(symbols, "symbols")
+    imports = stored(imports, "imports")
     defs = symbols.where("kind NOT IN ('module', 'section', 'route', 'config_key')").withColumn("family", family(F.col("language")))
-    bound = bindings(imports, symbols)
+    bound = stored(bindings(imports, symbols), "bound")
     bare, dotted = refs.where("qualifier = ''"), refs.where("qualifier <> ''")
     member = symbols.where("parent IS NOT NULL").select(F.col("parent").alias("owner"), "name", F.col("id").alias("target"), F.col("kind").alias("def_kind"))
-    chain = scope_chain(symbols)
+    chain = stored(scope_chain(symbols), "chain")
     parts: list[DataFrame] = []
     take = lambda df, tier, resolver, confidence: parts.append(df.select("ref", "target", F.lit(tier).alias("tier"), F.lit(resolver).alias("resolver"), F.lit(float(confidence)).alias("confidence")))
 
@@ -100,7 +104,7 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, local_types
     take(near.join(least, ["ref", "depth"]), 0, "scope", 1.0)
     # Members of the class around, for self-qualified names.
     mine = dotted.where(F.col("qualifier").isin(*SELF)).join(chain.where("class_like"), dotted.scope == chain.inner)
-    closure = owners(symbols, supers)
+    closure = stored(owners(symbols, supers), "owners")
     hits = mine.join(closure.withColumnRenamed("cls", "owner"), "owner").join(member.withColumnRenamed("owner", "via"), ["via", "name"])
     least = hits.groupBy("ref").agg(F.min("up").alias("up"))
     take(hits.join(least, ["ref", "up"]), 0, "receiver", 1.0)
@@ -134,6 +138,9 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, local_types
     alone = alone.join(kinds, "target").where(~F.col("ref").isNull() & (F.col("kind").isin("mention", "value") | ~F.col("kind").isin("call") | F.col("def_kind").isin(*CALLABLE_KINDS, *CLASS_KINDS)))
     take(alone.where("qualifier = ''"), 4, "unique", 0.7)
     take(alone.where("qualifier <> ''"), 5, "heuristic", 0.5)
+    # A text's mention of a name that one exported definition of any language has.
+    only = defs.where("exported").groupBy("name").agg(F.count("*").alias("m"), F.min("id").alias("target")).where("m = 1")
+    take(loose.where("kind = 'mention'").join(only, "name"), 4, "unique", 0.7)
     # Of several, the one in an imported file.
     many = defs.where("exported").select("name", "family", F.col("id").alias("target"), F.col("file").alias("resolved"))
     take(loose.join(many, ["name", "family"]).join(imports.where("resolved IS NOT NULL").select("file", "resolved").distinct(), ["file", "resolved"]), 5, "heuristic", 0.6)
@@ -141,12 +148,14 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, local_types
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
+    found = stored(found, "found")
     first = found.groupBy("ref").agg(F.min("tier").alias("tier"))
-    best = found.join(first, ["ref", "tier"]).groupBy("ref", "target").agg(F.max(F.struct("confidence", "resolver")).alias("m"))
+    best = stored(found.join(first, ["ref", "tier"]).groupBy("ref", "target").agg(F.max(F.struct("confidence", "resolver")).alias("m")), "bindings")
     edge = refs.where("kind <> 'config'").join(best, "ref").join(kinds, "target", "left")
     passes = (F.col("kind") == "value") & F.col("def_kind").isin(*PASSABLE_KINDS)
     kind = F.when(F.col("kind").isin("call", "new"), "calls").when(F.col("kind").isin("extends", "implements"), F.col("kind")).when(F.col("kind") == "decorator", "decorates").when(passes, "passes").otherwise("references")
     edges = edge.where("scope <> target").select(F.col("scope").alias("src"), F.col("target").alias("dst"), kind.alias("kind"), "file", "line", "m.resolver", "m.confidence").dropDuplicates(["src", "dst", "kind", "line"])
+    edges = stored(edges, "edges")
     brought = imports.where("resolved IS NOT NULL AND resolved <> file").select(F.col("file").alias("src"), F.col("resolved").alias("dst"), F.lit("imports").alias("kind"), "file", "line", F.lit("import").alias("resolver"), F.when(F.col("kind") == "type", 0.9).otherwise(1.0).alias("confidence"))
     config = refs.where("kind = 'config'").select(F.col("scope").alias("src"), F.concat(F.lit("env::"), "name").alias("dst"), F.lit("reads_config").alias("kind"), "file", "line", F.lit("structural").alias("resolver"), F.lit(1.0).alias("confidence"))
     routes = symbols.where("kind = 'route' AND meta['handler'] IS NOT NULL").select(F.col("id").alias("src"), "file", F.col("start_line").alias("line"), F.element_at(F.split(F.col("meta")["handler"], r"\."), -1).alias("name"))
