@@ -17,4 +17,5 @@ QUERIES = {
 }
 ORACLES = {
     "op2_fuse_dedup": dedup.OP2_SQL,
+    "op10_warc_normaliser": warc.OP10_SQL,
 }

@@ -257,3 +257,15 @@ def spread(paths: DataFrame) -> DataFrame:
 def op10_warc_normaliser(spark, sf_dir: str) -> DataFrame:
     """All pages written as archives of one stream, normalised and read back through the index."""
     return read_members(spread(archived(table(spark, sf_dir, "pages"))))
+
+
+OP10_SQL = """
+WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM t),
+d AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substr(h, i * 5 + 1, 5) AS BIGINT)) AS parts FROM g)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
