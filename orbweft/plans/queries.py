@@ -568,3 +568,36 @@ def viz_budget(spark, sf):
 def conversation_threads(spark, sf):
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, sf, "conversations").select("conv_id", "turn", (F.row_number().over(w) - 1).cast("long").alias("ordinal"), F.lag("turn").over(w).alias("parent"), F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("last_user"))
+
+
+# Source code: the engine's own, which every installation has
+
+
+def _own_sources(spark):
+    from orbweft import session
+    from orbweft.sources import scan
+    from orbweft.sources.extract import extracted
+
+    session.ship(spark)
+    return stored(extracted(scan.scan(spark, str(session.ROOT / "orbweft")).where(~F.col("path").startswith("llm/"))), "records")
+
+
+@query()
+def code_symbols(spark, sf):
+    """Definitions of the engine's own sources by kind."""
+    from orbweft.sources import ir
+
+    return ir.symbols(_own_sources(spark)).groupBy("language", "kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def code_edges(spark, sf):
+    """References of the engine's own sources, resolved: edges by kind and provenance."""
+    from orbweft.operators import resolve
+    from orbweft.sources import ir
+
+    records = _own_sources(spark)
+    symbols = ir.symbols(records)
+    imports = resolve.import_targets(ir.imports(records), records.select("path"))
+    edges, _ = resolve.resolve(ir.references(records), symbols, imports, ir.local_types(records))
+    return edges.groupBy("kind", "resolver").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
