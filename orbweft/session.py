@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+#: Bytes of an Arrow batch; rows may be long texts.
+ARROW_BYTES = 8 << 20
 
 
 def build(master: str = "local[8]", partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -33,7 +35,9 @@ def build(master: str = "local[8]", partitions: int = 8, memory: str = "12g") ->
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that do not have it on their path."""
+    """Make this package importable on executors that do not have it on their path, and bound what a Python worker is
+    handed at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if str(ROOT) in paths or Path.cwd() == ROOT:
         return
