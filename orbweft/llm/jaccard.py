@@ -34,10 +34,12 @@ WORDS, PERCENT = 5, 80
 SLICE, WINDOW = 1 << 20, 1 << 24
 #: A shingle is common from so many counted repeats on; commonness is kept in a table of fixed size.
 COMMON, SLOT_BITS = 64, 20
-#: Common shingles' postings go to so many tasks; a run longer than BIG in one task is a tile of its own.
-SALTS, BIG = 16, 64
-#: Of classes, one in 4 ** level has that level; tiles up to SMALL are paired in the first round.
-STEP_BITS, TOP, SMALL = 2, 5, 8
+#: Common shingles' postings go to so many tasks.
+SALTS = 16
+#: Of classes, one in 16 ** level has that level, TOP at most; in tiles up to SMALL all have TOP.
+STEP_BITS, TOP, SMALL = 4, 7, 32
+#: Numbers of 64 bits of the bitmap that a tile's rows carry.
+MARKS = 8
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -117,6 +119,12 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def marks(s: np.ndarray) -> np.ndarray:
+    """The same for a fixed number of bits, as MARKS numbers of 64."""
+    odd = np.bincount((s & np.uint64(64 * MARKS - 1)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(bool)).view(">i8").astype(np.int64)
+
+
 def overlap_bound(a: bytes, b: bytes, n: int, m: int) -> int:
     """The overlap of two sets cannot exceed this: every differing bit takes a hash that only one of them has."""
     x, y = np.unpackbits(np.frombuffer(a, np.uint8)), np.unpackbits(np.frombuffer(b, np.uint8))
@@ -207,24 +215,30 @@ def prefixes(texts: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, salt int, cls long, n int")
 
 
-def tiles(postings: DataFrame) -> DataFrame:
-    """tile, cls, n, big of the classes that share a shingle; tiles of the same classes are one."""
-    schema = pa.schema([("tile", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("big", pa.bool_())])
+def tiles(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """tile, cls, n of the classes that share a shingle and whose sizes form a band; tiles of the same classes are one.
+
+    Within a key classes come by size, and a tile ends where the next size is too large for any link. A key whose rows
+    one task does not hold at once, or whose rows are dealt to several tasks, is one tile of all its classes.
+    """
+    schema = pa.schema([("tile", pa.int64()), ("cls", pa.int64()), ("n", pa.int32())])
 
     def cut(key, salt, cls, n, seen):
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (cls[1:] != cls[:-1])])
+        other = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        new = np.concatenate([[True], other | (cls[1:] != cls[:-1])])
         key, salt, cls, n = key[new], salt[new], cls[new], n[new]
-        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
+        other = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        gap = (salt[1:] == 0) & (100 * n[:-1].astype(np.int64) < percent * n[1:])  # no link reaches over it
+        starts = np.flatnonzero(np.concatenate([[True], other | gap]))
         size = np.diff([*starts, len(key)])
-        own = np.add.reduceat(mix(cls.astype(np.uint64)), starts)
-        big = (size > BIG) | (salt[starts] > 0)
-        tile = np.where(big, mix(key[starts].astype(np.uint64)), mix(own)).astype(np.int64)
-        keep = (size > 1) | (salt[starts] > 0)
+        salted = salt[starts] > 0
+        tile = np.where(salted, mix(key[starts].astype(np.uint64)), mix(np.add.reduceat(mix(cls.astype(np.uint64)), starts))).astype(np.int64)
+        keep = (size > 1) | salted
         _, first = np.unique(tile, return_index=True)
         once = np.zeros(len(starts), bool)
         once[first] = True
-        keep &= once | big
-        for i in np.flatnonzero(keep & ~big):
+        keep &= once | salted
+        for i in np.flatnonzero(keep & ~salted):
             if tile[i] in seen:
                 keep[i] = False
             else:
@@ -232,7 +246,7 @@ def tiles(postings: DataFrame) -> DataFrame:
         if len(seen) > 1 << 18:
             seen.clear()
         each = np.repeat(keep, size)
-        return batch(schema, np.repeat(tile, size)[each], cls[each], n[each], np.repeat(big, size)[each])
+        return batch(schema, np.repeat(tile, size)[each], cls[each], n[each])
 
     def run(batches):
         held, seen = [], set()
@@ -247,34 +261,31 @@ def tiles(postings: DataFrame) -> DataFrame:
             if last:
                 yield cut(*(c[:last] for c in whole), seen)
                 held = [[c[last:] for c in whole]]
-            elif rows > 1 << 17:  # one key beyond what is held at once: its rows name the same tile either way
-                out = cut(*whole, seen)
-                yield batch(schema, np.full(len(whole[0]), mix(whole[0][:1].astype(np.uint64)).astype(np.int64)[0]), whole[2], whole[3], np.ones(len(whole[0]), bool))
-                del out
+            elif rows > 1 << 17:  # a key beyond what is held at once is a tile by itself
+                whole[1] = np.maximum(whole[1], 1)
+                yield cut(*whole, seen)
                 held = []
         if held:
             yield cut(*(np.concatenate(c) for c in zip(*held, strict=True)), seen)
 
-    dealt = postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "cls")
-    return dealt.mapInArrow(run, "tile long, cls long, n int, big boolean")
+    dealt = postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "cls")
+    return dealt.mapInArrow(run, "tile long, cls long, n int")
 
 
 def signatures(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, bits, items of the wanted classes, once each.
+    """cls, bits, items and marks of the wanted classes, once from each task that has them.
 
     A table of fixed size screens texts where they are read; what passes by chance costs room, not results.
     """
-    slot = F.shiftrightunsigned("cls", 64 - SLOT_BITS)
-    marks = np.zeros(1 << SLOT_BITS, bool)
-    marks[wanted.select(slot.cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
-    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(marks))
-    schema = pa.schema([("cls", pa.int64()), ("bits", pa.binary()), ("items", pa.binary())])
+    sent = slots_of(wanted)
+    names = [f"mark{i}" for i in range(MARKS)]
+    schema = pa.schema([("cls", pa.int64()), ("bits", pa.binary()), ("items", pa.binary()), *[(n, pa.int64()) for n in names]])
 
     def run(batches):
         marked = np.unpackbits(sent.value).view(bool)
         seen: set[int] = set()
         for b in batches:
-            cls, bits, items, size = [], [], [], 0
+            cls, bits, items, own, size = [], [], [], [], 0
             for s in column_sets(b.column(1)):
                 c = class_of(s)
                 if not c or c in seen or not marked[(c & (1 << 64) - 1) >> (64 - SLOT_BITS)]:
@@ -283,35 +294,67 @@ def signatures(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 cls.append(c)
                 bits.append(bitmap(s))
                 items.append(s.tobytes())
+                own.append(marks(s))
                 size += s.nbytes
                 if size > 1 << 23:
-                    yield batch(schema, cls, bits, items)
-                    cls, bits, items, size = [], [], [], 0
+                    yield batch(schema, cls, bits, items, *np.stack(own, 1))
+                    cls, bits, items, own, size = [], [], [], [], 0
             if len(seen) > 1 << 18:
                 seen.clear()
             if cls:
-                yield batch(schema, cls, bits, items)
+                yield batch(schema, cls, bits, items, *np.stack(own, 1))
 
-    made = texts.mapInArrow(run, "cls long, bits binary, items binary")
-    return made.groupBy("cls").agg(F.first("bits").alias("bits"), F.first("items").alias("items"))
+    return texts.mapInArrow(run, "cls long, bits binary, items binary, " + ", ".join(f"{n} long" for n in names))
 
 
-def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of classes that link."""
-    left = known.select(F.col("cls").alias("a"), F.col("bits").alias("bits_a"), F.col("items").alias("items_a"))
-    right = known.select(F.col("cls").alias("b"), F.col("bits").alias("bits_b"), F.col("items").alias("items_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "bits_a", "bits_b", "items_a", "items_b")
+def slots_of(classes: DataFrame):
+    """A bitmap of fixed size over the first bits of the classes, sent to the executors."""
+    slot = F.shiftrightunsigned("cls", 64 - SLOT_BITS)
+    found = np.zeros(1 << SLOT_BITS, bool)
+    found[classes.select(slot.cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
+    return classes.sparkSession.sparkContext.broadcast(np.packbits(found))
+
+
+def of_pairs(pairs: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """a, b and column of both. What is known of other classes is left where it is read, but for chance."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
+    sent = slots_of(wanted)
+
+    def screen(batches):
+        marked = np.unpackbits(sent.value).view(bool)
+        for x in batches:
+            slot = (x.column(0).to_numpy().astype(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            yield x.filter(pa.array(marked[slot]))
+
+    near = known.select("cls", column).mapInArrow(screen, f"cls long, {column} binary")
+    own = near.groupBy("cls").agg(F.first(column).alias(column))
+    left, right = (own.select(F.col("cls").alias(k), F.col(column).alias(f"of_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Those pairs a, b, n_a, n_b whose bitmaps allow a link."""
 
     def run(batches):
-        for batch_ in batches:
+        for x in batches:
             keep = []
-            for bits_a, bits_b, items_a, items_b in zip(*(batch_.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                n, m = len(items_a) // 8, len(items_b) // 8
-                most = overlap_bound(bits_a, bits_b, n, m)
-                keep.append(100 * most >= percent * (n + m - most) and linked(np.frombuffer(items_a, np.uint64), np.frombuffer(items_b, np.uint64), percent))
-            yield batch_.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for n, m, p, q in zip(*(x.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                most = overlap_bound(p, q, n, m)
+                keep.append(100 * most >= percent * (n + m - most))
+            yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return of_pairs(pairs, known, "bits").select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
 
-    return both.mapInArrow(run, "a long, b long")
+def verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Those pairs a, b that link, by exact intersection."""
+
+    def run(batches):
+        for x in batches:
+            keep = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True)]
+            yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return of_pairs(pairs, known, "items").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
@@ -338,7 +381,7 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
 
 
 def level(cls: Column) -> Column:
-    """0 for three classes in four, 1 for three of four others, and so on up to TOP."""
+    """0 for 15 classes in 16, 1 for 15 in 16 of the others, and so on up to TOP."""
     h, out = F.xxhash64(cls), F.lit(0)
     for k in range(1, TOP + 1):
         out = F.when(F.pmod(h, F.lit(1 << (STEP_BITS * k))) == 0, k).otherwise(out)
@@ -347,32 +390,44 @@ def level(cls: Column) -> Column:
 
 def links_of(texts: DataFrame, repeats: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """node, root of the classes that link with another; None where no two share a shingle."""
-    postings = prefixes(texts, common_levels(repeats), percent)
-    shared = tiles(postings).dropDuplicates(["tile", "cls"])
+    shared = stored(tiles(prefixes(texts, common_levels(repeats), percent), percent), "shared").dropDuplicates(["tile", "cls"])
     sizes = shared.groupBy("tile").agg(F.count("*").alias("m")).where("m > 1")
-    members = stored(shared.join(sizes, "tile").withColumn("level", F.when(F.col("m") <= SMALL, TOP).otherwise(level(F.col("cls")))).select("tile", "cls", "n", "level"), "tiles")
+    members = shared.join(sizes, "tile").withColumn("level", F.when(F.col("m") <= SMALL, TOP).otherwise(level(F.col("cls"))))
+    members = stored(members.select("tile", "cls", "n", "level", (F.col("m") > SMALL).alias("large")), "tiles")
     if members.isEmpty():
         return None
     known = stored(signatures(texts, members), "signatures")
-    links, roots = None, None
-    for now in range(TOP, -1, -1):
-        left = members if roots is None else members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        left = left.withColumn("root", F.coalesce(F.col("root"), F.col("cls")) if roots is not None else F.col("cls"))
-        if roots is not None:  # tiles within one component are done with
-            open_ = left.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tile")
-            left = stored(left.join(open_, "tile"), "open")
+    names = [f"mark{i}" for i in range(MARKS)]
+    members = stored(members.join(known.groupBy("cls").agg(*[F.min(n).alias(n) for n in names]), "cls"), "marked")
+    links, roots, left = None, None, members.withColumn("root", F.col("cls"))
+    top = members.where("large").agg(F.max("level")).first()[0] or 0
+    for now in range(top, -1, -1):
+        if now < top:  # tiles that are small or within one component are done with
+            left = members.where("large")
+            if roots is not None:
+                left = left.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+                left = left.withColumn("root", F.coalesce("root", "cls"))
+                open_ = left.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tile")
+                left = left.join(open_, "tile")
+            else:
+                left = left.withColumn("root", F.col("cls"))
+            left = stored(left.select("tile", "cls", "n", "level", "root", *names), "open")
             if left.isEmpty():
                 break
-        first = left.where(F.col("level") == now).select("tile", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        other = left.where(F.col("level") <= now).select("tile", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("level").alias("level_b"))
-        small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        pairs = first.join(other, "tile").where((F.col("root_a") != F.col("root_b")) & (100 * small >= percent * large) & ((F.col("level_b") < now) | (F.col("a") < F.col("b"))))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(verified(pairs, known, percent), "links")
+        first = left.where((F.col("level") >= now) if now == top else (F.col("level") == now)).select(F.col("level").alias("level_x"), "tile", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), *[F.col(k).alias(f"{k}_x") for k in names])
+        other = left.select("tile", F.col("cls").alias("y"), F.col("n").alias("n_y"), F.col("root").alias("root_y"), F.col("level").alias("level_y"), *[F.col(k).alias(f"{k}_y") for k in names])
+        # A link needs an overlap of percent / (100 + percent) of both sizes; differing bits bound it from above.
+        apart = sum((F.bit_count(F.col(f"{k}_x").bitwiseXOR(F.col(f"{k}_y"))) for k in names[1:]), F.bit_count(F.col(f"{names[0]}_x").bitwiseXOR(F.col(f"{names[0]}_y"))))
+        both = F.col("n_x") + F.col("n_y")
+        alike = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & ((100 + percent) * (both - apart) >= 2 * percent * both)
+        pairs = first.join(other, "tile").where((F.col("root_x") != F.col("root_y")) & alike & ((F.col("level_y") < F.col("level_x")) | ((F.col("level_y") == F.col("level_x")) & (F.col("x") < F.col("y")))))
+        up = F.col("x") < F.col("y")
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(up, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(up, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b")).distinct()
+        likely = stored(bounded(stored(pairs, "pairs"), known, percent), "likely")
+        found = stored(verified(likely, known, percent), "links")
         if found.isEmpty():
             continue
-        links = found if links is None else links.union(found)
-        roots = stored(components(links), "roots")
+        roots = stored(components(found if links is None else links.union(found)), "roots")
         links = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return roots
 
