@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
 import zipfile
@@ -68,14 +67,26 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which clear() deletes."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def stored(df: DataFrame, name: str, *, partitions: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at durable files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def on_path() -> None:
-    if str(ROOT) not in sys.path:
-        sys.path.insert(0, str(ROOT))
+def clear(spark: SparkSession) -> None:
+    """Delete what stored() has written; results that still read it must be done with."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -15,6 +15,7 @@ def spark():
 
     s = session.build("local[4]", 4, "4g")
     yield s
+    session.clear(s)
     s.stop()
 
 
