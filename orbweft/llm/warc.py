@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweft.session import shared_dir, stored, table
+from orbweft.session import folder, stored, table
 
 #: Payload bytes after which a task begins another archive; bytes inflated at a time; compression level.
 ARCHIVE, STEP, LEVEL = 64 << 20, 1 << 20, 4
@@ -156,7 +156,7 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def write_whole(rows: DataFrame, folder: str) -> DataFrame:
+def write_whole(rows: DataFrame, place: str) -> DataFrame:
     """Archives of rows, each one gzip stream of bounded size; their paths."""
 
     def run(batches):
@@ -168,7 +168,7 @@ def write_whole(rows: DataFrame, folder: str) -> DataFrame:
 
         def flush():
             nonlocal pending, size, k
-            uri = publish(f"{folder}/whole/part-{part:06d}-{k:04d}.warc.gz", lambda out: gzip_whole(pending, out))
+            uri = publish(f"{place}/whole/part-{part:06d}-{k:04d}.warc.gz", lambda out: gzip_whole(pending, out))
             pending, size, k = [], 0, k + 1
             return pa.RecordBatch.from_pydict({"path": [uri]})
 
@@ -185,7 +185,7 @@ def write_whole(rows: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, "path string")
 
 
-def normalised(paths: DataFrame, folder: str) -> DataFrame:
+def normalised(paths: DataFrame, place: str) -> DataFrame:
     """Each archive rewritten with a member a record and its index beside it: path, index, records."""
 
     def run(batches):
@@ -199,8 +199,8 @@ def normalised(paths: DataFrame, folder: str) -> DataFrame:
                     with fs.open_input_stream(at, compression=None) as source:
                         lines += [json.dumps(x) for x in normalise(source, out)]
 
-                uri = publish(f"{folder}/members/{name}", members)
-                index = publish(f"{folder}/members/{name}.index", lambda out, lines=lines: out.write("".join(x + "\n" for x in lines).encode()))
+                uri = publish(f"{place}/members/{name}", members)
+                index = publish(f"{place}/members/{name}.index", lambda out, lines=lines: out.write("".join(x + "\n" for x in lines).encode()))
                 yield pa.RecordBatch.from_pydict({"path": [uri], "index": [index], "records": [len(lines)]})
 
     return paths.mapInArrow(run, "path string, index string, records long")
@@ -244,9 +244,9 @@ def read_members(archives: DataFrame) -> DataFrame:
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write pages, normalise the archives and give what they hold: path, index and records of each archive."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    whole = stored(write_whole(with_references(pages, min_bytes), folder), "whole")
-    return stored(normalised(spread(whole), folder), "members")
+    place = folder(spark, "warc")
+    whole = stored(write_whole(with_references(pages, min_bytes), place), "whole")
+    return stored(normalised(spread(whole), place), "members")
 
 
 def spread(paths: DataFrame) -> DataFrame:
