@@ -460,4 +460,21 @@ def kept(docs: DataFrame) -> DataFrame:
 
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     """All documents joined on five-word shingles at a similarity of 0.8."""
-    return joined(table(spark, sf_dir, "documents"))
+    return joined(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, len(g) AS n FROM s), x AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (
+  SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id
+), c AS (SELECT doc_id, min(root) AS root FROM r GROUP BY 1)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(c.root, n.doc_id) AS component_id FROM n LEFT JOIN c ON n.doc_id = c.doc_id
+"""

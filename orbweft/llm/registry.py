@@ -17,5 +17,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_fuse_dedup": dedup.OP2_SQL,
+    "op4_ngram_jaccard": jaccard.OP4_SQL,
     "op10_warc_normaliser": warc.OP10_SQL,
 }
