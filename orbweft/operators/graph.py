@@ -51,7 +51,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, rounds: int = 40, damping: f
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    merged = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
+    merged = stored(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")), "merged")
     total = merged.groupBy("src").agg(F.sum("w").alias("t"))
     flow = stored(merged.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "flow")
     base = nodes.select("id").join(total.select(F.col("src").alias("id"), F.lit(True).alias("out")), "id", "left")
@@ -65,8 +65,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, rounds: int = 40, damping: f
         dangling = ranks.where("NOT out").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d"))
         moved = flow.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("m")).withColumnRenamed("dst", "id")
         after = ranks.join(moved, "id", "left").crossJoin(F.broadcast(dangling)).select("id", "out", "share", ((1 - damping) * F.col("share") + damping * (F.coalesce("m", F.lit(0.0)) + F.col("d") * F.col("share"))).alias("rank"), F.col("rank").alias("before"))
-        if k % cut == 0 or k == rounds:
-            after = stored(after, "ranks")
+        after = stored(after, "ranks")  # a round reads the ranks thrice, so unwritten rounds would multiply
+        if k % cut == 0:
             if tolerance is not None and after.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < tolerance:
                 ranks = after.drop("before")
                 break
