@@ -33,7 +33,7 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
     "uralic": ("fi", "et", "hu"),
 }
-PER_LANGUAGE, LANGUAGES = 600, 64
+PER_LANGUAGE, LANGUAGES = 400, 64
 #: Hashed n-grams; bytes scored at a time.
 TERMS, SLICE = 4096, 1 << 20
 UNKNOWN = "und"

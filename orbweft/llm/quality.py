@@ -28,7 +28,7 @@ from orbweft.llm.arrays import flat, runs
 from orbweft.llm.language import folded, held_out
 from orbweft.session import table
 
-BAD, GOOD = 1500, 2500
+BAD, GOOD = 800, 1400
 LETTERS, SHAPES = 1024, 1024
 TERMS = LETTERS + SHAPES + 1
 RANK, NEIGHBOURS, SLICE, BLOCK = 48, 25, 1 << 20, 512
@@ -81,8 +81,11 @@ def counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Square roots of shares within letters, shapes and marks, times the weights; length 1."""
     total = c[:, :LETTERS].sum(1, keepdims=True)
-    x = np.sqrt(c / np.maximum(total, 1)) * idf
-    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    x = (c / np.maximum(total, 1)).astype(np.float32)
+    np.sqrt(x, out=x)
+    x *= idf.astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x
 
 
 @dataclass
@@ -102,7 +105,7 @@ class Model:
         idf = np.log((1 + n) / (1 + (c > 0).sum(0))) + 0.2
         idf[LETTERS:] *= 2.0
         x = weighted(c, idf)
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
+        values, vectors = np.linalg.eigh(x.T @ x)
         axes = vectors[:, np.argsort(values)[::-1][:RANK]].astype(np.float32)
         v = x @ axes
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
@@ -151,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
 
     got = rows.withColumn("quality", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, c binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.c)))
-    c = np.frombuffer(b"".join(r.c for r in got), np.float32).reshape(-1, TERMS).astype(float)
+    c = np.frombuffer(b"".join(r.c for r in got), np.float32).reshape(-1, TERMS)
     return Model.fit(c, np.array([r.quality for r in got], int), shares)
 
 
