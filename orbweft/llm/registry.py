@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from orbweft.llm import bpe, dedup, hilbert, jaccard, language, mpegts, packing, quality, warc
+from orbweft.llm import bpe, dedup, hilbert, jaccard, language, mpegts, order, packing, quality, warc
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1_bpe_codec,
     "op2_fuse_dedup": dedup.op2_fuse_dedup,
     "op3_language_svm": language.op3_language_svm,
     "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
+    "op5_training_order": order.op5_training_order,
     "op6_hilbert_shards": hilbert.op6_hilbert_shards,
     "op7_vector_packing": packing.op7_vector_packing,
     "op8_quality_neighbours": quality.op8_quality_neighbours,
