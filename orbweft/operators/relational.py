@@ -27,14 +27,15 @@ def latest(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> D
 def innermost(points: DataFrame, ranges: DataFrame, *, width: int = 64) -> DataFrame:
     """point_id, range_id: the narrowest range (range_id, start, end) that overlaps each point's (from_, to_).
 
-    Ranges are dealt into bins of the axis, so this is an equi-join whatever the ranges are.
+    Ranges are dealt into bins of the axis, so this is an equi-join whatever the ranges are. Equal points are looked up
+    once, and of equal ranges only the least id can be the answer, so the join grows with the distinct ones.
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
-    p = points.withColumn("bin", bins(F.col("from_"), F.col("to_")))
-    r = ranges.withColumn("bin", bins(F.col("start"), F.col("end")))
+    p = points.select("from_", "to_").distinct().withColumn("bin", bins(F.col("from_"), F.col("to_")))
+    r = ranges.groupBy("start", "end").agg(F.min("range_id").alias("range_id")).withColumn("bin", bins(F.col("start"), F.col("end")))
     hits = p.join(r, "bin").where("start <= to_ AND end >= from_")
-    best = F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "range_id"))
-    return hits.groupBy("point_id").agg(best.alias("m")).select("point_id", "m.range_id")
+    best = hits.groupBy("from_", "to_").agg(F.min(F.struct((F.col("end") - F.col("start")).alias("w"), "range_id")).alias("m"))
+    return points.join(best, ["from_", "to_"]).groupBy("point_id").agg(F.min("m").alias("m")).select("point_id", "m.range_id")
 
 
 def cascade(refs: DataFrame, tiers: list[tuple[DataFrame, list[str], str, float]], ref: str) -> DataFrame:

@@ -186,7 +186,7 @@ SELECT point_id, range_id FROM p JOIN r ON s <= t AND e >= f QUALIFY row_number(
 def range_overlap_innermost(spark, sf):
     """The narrowest order period that overlaps each customer's days."""
     day = F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) / 86400)
-    r = table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("range_id"), day.alias("start"), (day + 1 + F.col("o_orderkey") % 30).alias("end"))
+    r = table(spark, sf, "orders").select(F.col("o_orderkey").alias("range_id"), day.alias("start"), (day + 1 + F.col("o_orderkey") % 30).alias("end"))
     p = table(spark, sf, "customer").select(F.col("c_custkey").alias("point_id"), (10000 + F.col("c_custkey") % 1000).alias("from_"), (10001 + F.col("c_custkey") % 1000).alias("to_"))
     return relational.innermost(p, r, width=8)
 
