@@ -103,11 +103,11 @@ u AS (SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partk
 s AS (SELECT 'order:' || l_orderkey AS src, l_linenumber AS line, unnest(ids) AS t, greatest(0.1, round(1.0 / len(ids), 2)) AS confidence FROM u JOIN c USING (p_name) WHERE m > 1)
 SELECT src, 'part:' || t AS dst, line, confidence FROM s ANTI JOIN lineitem l ON s.src = 'order:' || l.l_orderkey AND s.t = l.l_partkey AND s.line = l.l_linenumber""")
 def candidate_callers(spark, sf):
-    """Orders' first lines by part name only: each part of that name is a candidate, at 1/n."""
+    """Lineitems by part name only: each part of that name is a candidate, at 1/n."""
     part, items = table(spark, sf, "part"), table(spark, sf, "lineitem")
     ids = F.slice(F.sort_array(F.collect_list("p_partkey")), 1, 8)  # the first eight are the candidates
     names = part.groupBy("p_name").agg(F.count("*").alias("m"), ids.alias("ids")).where("m > 1").select("p_name", F.transform("ids", lambda i: F.concat(F.lit("part:"), i.cast("string"))).alias("candidates"))
-    refs = items.where("l_linenumber = 1").join(part, F.col("l_partkey") == F.col("p_partkey")).join(names, "p_name")
+    refs = items.join(part, F.col("l_partkey") == F.col("p_partkey")).join(names, "p_name")
     unresolved = refs.select(og.ident("order", F.col("l_orderkey")).alias("scope"), F.col("l_linenumber").alias("line"), "candidates")
     calls = og.order_edges(spark, sf).where("kind = 'calls'")
     return graph.candidate_callers(unresolved, calls, part.select(og.ident("part", F.col("p_partkey")).alias("id")))

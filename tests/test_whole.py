@@ -35,3 +35,11 @@ def test_innermost_looks_at_every_order(spark, sf):
     p AS (SELECT c_custkey AS point_id, 10000 + c_custkey % 1000 AS f, 10001 + c_custkey % 1000 AS t FROM customer)
     SELECT point_id, range_id FROM p JOIN r ON s <= t AND e >= f QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY e - s, range_id) = 1""")
     assert got == set(want) and any(r % 4 for _, r in got)
+
+
+def test_every_lineitem_is_a_site(spark, sf):
+    got = sorted(tuple(r) for r in QUERIES["candidate_callers"](spark, sf).select("src", "dst", "line", "confidence").collect())
+    want = plain(sf, """WITH c AS (SELECT p_name, list(p_partkey ORDER BY p_partkey)[1:8] AS ids, count(*) AS m FROM part GROUP BY 1),
+    s AS (SELECT l_orderkey AS o, l_linenumber AS line, unnest(ids) AS t, greatest(0.1, round(1.0 / len(ids), 2)) AS confidence FROM lineitem JOIN part ON l_partkey = p_partkey JOIN c USING (p_name) WHERE m > 1)
+    SELECT 'order:' || o, 'part:' || t, line, CAST(confidence AS DOUBLE) FROM s ANTI JOIN lineitem l ON s.o = l.l_orderkey AND s.t = l.l_partkey AND s.line = l.l_linenumber""")
+    assert got == sorted(want) and len({line for _, _, line, _ in got}) > 1
