@@ -52,6 +52,11 @@ def trade_edges(spark: SparkSession, sf: str) -> DataFrame:
     return items.groupBy(ident("nation", F.col("s_nationkey")).alias("src"), ident("nation", F.col("c_nationkey")).alias("dst")).agg(revenue.alias("weight"), F.count("*").alias("n"))
 
 
+def whole_trade(edges: DataFrame) -> DataFrame:
+    """Every flow between different nations."""
+    return edges.where("src <> dst")
+
+
 def sparse_trade(edges: DataFrame, keep: int = 3) -> DataFrame:
     """Each nation's largest flows to others."""
     from pyspark.sql import Window

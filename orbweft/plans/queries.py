@@ -469,7 +469,7 @@ def _nations(spark, sf):
 
 @query(f"WITH {og.TRADE_SQL}, {og.SPARSE_SQL}, {_pagerank_sql(10, False)}")
 def pagerank_k10(spark, sf):
-    ranks = graph.pagerank(_nations(spark, sf), og.sparse_trade(og.trade_edges(spark, sf)), rounds=10, tolerance=None)
+    ranks = graph.pagerank(_nations(spark, sf), og.whole_trade(og.trade_edges(spark, sf)), rounds=10, tolerance=None)
     return ranks.select("id", r6(F.col("rank")).alias("rank"))
 
 
@@ -477,10 +477,32 @@ def pagerank_k10(spark, sf):
 def ppr_k10(spark, sf):
     """Ranks of a walk that restarts at one nation, along edges of either direction."""
     start = spark.createDataFrame([("nation:0", 1.0)], "id string, share double")
-    ranks = graph.pagerank(_nations(spark, sf), graph.both_ways(og.sparse_trade(og.trade_edges(spark, sf))), rounds=10, tolerance=None, restart=start)
+    ranks = graph.pagerank(_nations(spark, sf), graph.both_ways(og.whole_trade(og.trade_edges(spark, sf))), rounds=10, tolerance=None, restart=start)
     return ranks.select("id", r6(F.col("rank")).alias("rank"))
 
 
+def _orders_pagerank_sql(rounds: int) -> str:
+    out = [
+        "e AS (SELECT src, dst, kind FROM edges WHERE src <> dst UNION ALL SELECT parent, id, 'contains' FROM nodes WHERE parent IS NOT NULL)",
+        "g AS (SELECT src, dst, sum(CASE e.kind WHEN 'calls' THEN 1.0 WHEN 'references' THEN 0.5 WHEN 'imports' THEN 0.3 ELSE 0.15 END)::DOUBLE AS w FROM e SEMI JOIN nodes a ON e.src = a.id SEMI JOIN nodes b ON e.dst = b.id GROUP BY 1, 2)",
+        "p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM g)",
+        "b AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS share, id IN (SELECT src FROM p) AS has_out FROM nodes)",
+        "k0 AS MATERIALIZED (SELECT id, share AS rank FROM b)",
+    ]
+    for i in range(rounds):
+        out.append(f"d{i} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS d FROM k{i} JOIN b USING (id) WHERE NOT has_out), m{i} AS MATERIALIZED (SELECT dst AS id, sum(rank * p) AS m FROM p JOIN k{i} ON k{i}.id = p.src GROUP BY 1)")
+        out.append(f"k{i + 1} AS MATERIALIZED (SELECT b.id, 0.15 * share + 0.85 * (coalesce(m, 0) + share * d) AS rank FROM b LEFT JOIN m{i} USING (id) CROSS JOIN d{i})")
+    return ", ".join(out) + f" SELECT id, round(rank * (SELECT count(*) FROM nodes), 6) AS rank FROM k{rounds}"
+
+
+@query(f"WITH {og.NODES_SQL}, {og.EDGES_SQL}, {_orders_pagerank_sql(10)}")
+def pagerank_orders_k10(spark, sf):
+    """Ranks over the orders graph, an edge for each lineitem, times the number of nodes."""
+    nodes = og.order_nodes(spark, sf)
+    ranks = graph.pagerank(nodes, graph.load(nodes, og.order_edges(spark, sf)), rounds=10, tolerance=None)
+    return ranks.select("id", r6(F.col("rank") * nodes.count()).alias("rank"))
+
+
 @query(f"""WITH {og.EDGES_SQL}, b AS (SELECT dst, src, max(CASE kind WHEN 'calls' THEN 1.0 WHEN 'references' THEN 0.5 ELSE 0.3 END) AS w FROM edges GROUP BY 1, 2),
 d1 AS (SELECT src AS id, 1 AS depth, max(w) AS score FROM b WHERE dst = 'part:1' GROUP BY 1),
 d2 AS (SELECT src AS id, 2 AS depth, max(score * w * 0.6) AS score FROM b JOIN d1 ON b.dst = d1.id WHERE src <> 'part:1' AND src NOT IN (SELECT id FROM d1) GROUP BY 1),
@@ -538,12 +560,12 @@ def inherit_docs(spark, sf):
 @query()
 def louvain_trade(spark, sf):
     """Communities of nations by modularity."""
-    return graph.louvain(og.sparse_trade(og.trade_edges(spark, sf)))
+    return graph.louvain(og.whole_trade(og.trade_edges(spark, sf)))
 
 
 @query()
 def label_propagation_trade(spark, sf):
-    return graph.label_propagation(og.sparse_trade(og.trade_edges(spark, sf)))
+    return graph.label_propagation(og.whole_trade(og.trade_edges(spark, sf)))
 
 
 @query(f"""WITH {_bm25_sql()}, r AS (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM hits QUALIFY rank <= 25), t AS (SELECT id, rank, CAST(ceil(length(text) / 3.2) AS BIGINT) AS tokens FROM r JOIN documents ON id = doc_id),

@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from orbweft.operators import relational
+from orbweft.operators import louvain, relational
 from orbweft.plans.queries import QUERIES
 
 
@@ -43,3 +43,56 @@ def test_every_lineitem_is_a_site(spark, sf):
     s AS (SELECT l_orderkey AS o, l_linenumber AS line, unnest(ids) AS t, greatest(0.1, round(1.0 / len(ids), 2)) AS confidence FROM lineitem JOIN part ON l_partkey = p_partkey JOIN c USING (p_name) WHERE m > 1)
     SELECT 'order:' || o, 'part:' || t, line, CAST(confidence AS DOUBLE) FROM s ANTI JOIN lineitem l ON s.o = l.l_orderkey AND s.t = l.l_partkey AND s.line = l.l_linenumber""")
     assert got == sorted(want) and len({line for _, _, line, _ in got}) > 1
+
+
+TRADE = """SELECT 'nation:' || s_nationkey, 'nation:' || c_nationkey, round(sum(CAST(round(l_extendedprice * (1 - l_discount) * 100) AS BIGINT)) / 1e8, 6)
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY ALL"""
+
+
+def walked(nodes, edges, share):
+    total, rank = dict.fromkeys(nodes, 0.0), dict(share)
+    for a, _, w in edges:
+        total[a] += w
+    for _ in range(10):
+        spare = sum(rank[n] for n in nodes if not total[n])
+        after = {n: 0.15 * share[n] + 0.85 * spare * share[n] for n in nodes}
+        for a, b, w in edges:
+            after[b] += 0.85 * rank[a] * w / total[a]
+        rank = after
+    return rank
+
+
+def test_ranks_of_the_whole_trade(spark, sf):
+    edges, nodes = plain(sf, TRADE), [f"nation:{k}" for (k,) in plain(sf, "SELECT n_nationkey FROM nation")]
+    for name, e, share in (
+        ("pagerank_k10", edges, dict.fromkeys(nodes, 1 / len(nodes))),
+        ("ppr_k10", edges + [(b, a, 0.7 * w) for a, b, w in edges], {n: float(n == "nation:0") for n in nodes}),
+    ):
+        want = walked(nodes, e, share)
+        got = {r.id: r.rank for r in QUERIES[name](spark, sf).collect()}
+        assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 2e-6 for n in nodes), name
+
+
+def test_communities_of_the_whole_trade(spark, sf):
+    pairs = {}
+    for a, b, w in plain(sf, TRADE):
+        pairs[min(a, b), max(a, b)] = pairs.get((min(a, b), max(a, b)), 0) + w
+    want = louvain.communities([(a, b, w) for (a, b), w in pairs.items()])
+    assert {r.id: r.community for r in QUERIES["louvain_trade"](spark, sf).collect()} == want
+    near = {}
+    for (a, b), w in pairs.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    label = {n: n for n in near}
+    for _ in range(10):
+        votes = {n: {} for n in near}
+        for n in near:
+            for m, w in near[n].items():
+                votes[n][label[m]] = votes[n].get(label[m], 0) + w
+        label = {n: min(v, key=lambda c: (-round(v[c], 9), c)) for n, v in votes.items()}
+    assert {r.id: r.community for r in QUERIES["label_propagation_trade"](spark, sf).collect()} == label
+
+
+def test_ranks_of_the_orders_graph(spark, sf):
+    got = {r.id: r.rank for r in QUERIES["pagerank_orders_k10"](spark, sf).collect()}
+    n = plain(sf, "SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + 5")[0][0]
+    assert len(got) == n and abs(sum(got.values()) / n - 1) < 1e-6
