@@ -4,8 +4,9 @@ First the family of a text's language is decided, then one-versus-one linear sup
 languages of that family and vote. All of them are linear in the shares of a text's letter n-grams, so a whole text is
 scored in one pass over its bytes: each n-gram adds its weights, and no vector of the text is ever made.
 
-Training takes a bounded sample: up to PER_LANGUAGE texts of each language, by a hash of doc_id, of those rows that may
-be learned from. Every other row is only predicted.
+Training takes a bounded sample, by a hash of doc_id, of those rows that may be learned from: PER_LANGUAGE texts of each
+language or, where languages are so many that this would exceed TOTAL texts, an equal share of TOTAL, one at least. Every
+language that has such a row is learned. Every other row is only predicted.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; where nothing can be learned every
 text is ``und``; rows whose language is null are predicted but not learned from; a null doc_id is not held out and not
@@ -33,7 +34,7 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
     "uralic": ("fi", "et", "hu"),
 }
-PER_LANGUAGE, LANGUAGES = 400, 64
+PER_LANGUAGE, TOTAL = 400, 400 * 64
 #: Hashed n-grams; bytes scored at a time.
 TERMS, SLICE = 4096, 1 << 20
 UNKNOWN = "und"
@@ -159,15 +160,15 @@ def held_out(doc_id: Column, parts: int, one: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == one, F.lit(False))
 
 
-def sample(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """lang and text of a bounded sample of each of the LANGUAGES commonest languages."""
-    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.col("lang") != UNKNOWN))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+def sample(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE, total: int = TOTAL) -> DataFrame:
+    """lang and text of a bounded sample of every language; the row with the least hash of each is always in it."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in counts:
-        chosen |= (F.col("lang") == lang) & (place < min(1.0, per_language / n))
-    return rows.where(chosen).select("lang", "text").limit(2 * per_language * max(1, len(counts)))
+    rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.col("lang") != UNKNOWN))
+    counts = rows.groupBy("lang").agg(F.count("*"), F.min(place)).collect()
+    each = max(1, min(per_language, total // max(1, len(counts))))
+    most = docs.sparkSession.createDataFrame([(lang, max(least, min(1.0, each / n))) for lang, n, least in counts], "lang string, most double")
+    chosen = rows.select("lang", "text", place.alias("place")).join(F.broadcast(most), "lang").where("place <= most")
+    return chosen.select("lang", "text").limit(2 * each * max(1, len(counts)))
 
 
 def train(docs: DataFrame, allowed: Column) -> Model:
