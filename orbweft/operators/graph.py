@@ -119,15 +119,16 @@ def closure(pairs: DataFrame, *, limit: int = 6) -> DataFrame:
     return out
 
 
-def scc(edges: DataFrame, *, limit: int = 64) -> DataFrame:
+def scc(edges: DataFrame) -> DataFrame:
     """id, component of every node that lies on a cycle: least id of the nodes it reaches and that reach it.
 
     Trimming first drops what cannot be on a cycle; then minima travel forward and, within their reach, backward, which
-    settles at least one component a round; the rest goes on.
+    settles at least one component a round; the rest goes on until no edge is left. Minima are those of the ids' hashes,
+    so that chains of cycles in the order of their ids do not settle one by one.
     """
     live = stored(edges.where("src <> dst").select("src", "dst").distinct(), "live")
     done = None
-    for _ in range(limit):
+    while True:
         while True:  # nodes without an edge in or out are on no cycle
             n = live.count()
             live = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
@@ -136,14 +137,14 @@ def scc(edges: DataFrame, *, limit: int = 64) -> DataFrame:
                 break
         if not n:
             break
-        color = _minima(live, live.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct(), "src", "dst")
+        color = _minima(live, live.select(F.col("src").alias("id"), F.struct(F.xxhash64("src").alias("hash"), F.col("src").alias("id")).alias("label")).distinct(), "src", "dst")
         own = live.join(color.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(color.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").select("src", "dst", "a")
         own = stored(own, "own")
-        found = stored(_reach(own, color.where("id = label")), "found")
+        found = stored(_reach(own, color.where("id = label.id")), "found")
         done = found if done is None else done.union(found)
         live = live.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
     empty = edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    out = empty if done is None else done.select("id", F.col("label").alias("component"))
+    out = empty if done is None else done.select("id", F.col("label.id").alias("component"))
     sizes = out.groupBy("component").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
     return out.join(sizes, "component").select("id", F.col("least").alias("component"))
 
@@ -210,7 +211,7 @@ def louvain(edges: DataFrame, *, resolution: float = 1.0) -> DataFrame:
     """id, community by local moving and aggregation.
 
     Moving is sequential by nature and every gain depends on the move before, so it runs in one task over the merged
-    edges (16 bytes an edge); graphs beyond that are first contracted with label_propagation.
+    edges (16 bytes an edge); a graph beyond one task's memory is not handled.
     """
     merged = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("w")).withColumn("all", F.lit(1))
 

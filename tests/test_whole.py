@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from orbweft.operators import louvain, relational
+from orbweft.operators import graph, louvain, relational
 from orbweft.plans.queries import QUERIES
 
 
@@ -96,3 +96,11 @@ def test_ranks_of_the_orders_graph(spark, sf):
     got = {r.id: r.rank for r in QUERIES["pagerank_orders_k10"](spark, sf).collect()}
     n = plain(sf, "SELECT (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + 5")[0][0]
     assert len(got) == n and abs(sum(got.values()) / n - 1) < 1e-6
+
+
+def test_every_component_of_many_cycles(spark):
+    n = 66
+    edges = [(f"{2 * i:04}", f"{2 * i + 1:04}") for i in range(n)] + [(f"{2 * i + 1:04}", f"{2 * i:04}") for i in range(n)]
+    edges += [(f"{2 * i:04}", f"{2 * j:04}") for i in range(n) for j in range(i + 1, n)]
+    got = {r.id: r.component for r in graph.scc(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {f"{2 * i + k:04}": f"{2 * i:04}" for i in range(n) for k in (0, 1)}
