@@ -7,14 +7,16 @@ Each task packs what it reads from a pool of bounded size, which is refilled bef
 a task leave open is closed by cutting their pieces to fill one after another.
 
 Defined results: null and empty texts are one end mark; repeated rows are examples of their own; pieces of equal demand
-go in the order in which they came; an empty table gives an empty result; other columns are not read.
+go in the order in which they came; a text of any length is tokenised part by part; an empty table, and a task without
+rows, gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,6 +80,8 @@ class Packer:
 
     def _fill(self, keep: int) -> Iterator[list[Piece]]:
         pool = self.pool
+        if not pool:  # a task that has read no row, or only full sequences
+            return
         demand = np.array([[len(p.ids), 1, p.loss] for p in pool], float)
         share, free, left = demand / self.caps, np.ones(len(pool), bool), len(pool)
         while left > keep:
@@ -133,8 +137,30 @@ def packed_rows(sequences: Iterable[list[Piece]], first: int) -> Iterator[dict]:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Where a text may be cut without a change of its ids: before a space or line break after a printable ASCII sign, as no
+#: token of the byte-level pattern spans that place and none before it looks beyond it.
+PLACE = re.compile("(?<=[!-~])[ \n\t]")
+#: Characters tokenised at a time, where a text has such places.
+CHUNK = 1 << 16
+
+
+def chunks(text: str, size: int = CHUNK) -> Iterator[str]:
+    """The text in parts of at least size characters, each of which begins where a cut changes nothing."""
+    at = 0
+    while len(text) - at > size:
+        found = PLACE.search(text, at + size)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
+
+
 class Ids:
-    """Ids of texts by the byte-level file; texts within Latin-1 by the faster library of the same vocabulary."""
+    """Ids of texts by the byte-level file; parts within Latin-1 by the faster library of the same vocabulary.
+
+    That library's matcher gives up on very long runs of spaces; such parts go to the other.
+    """
 
     def __init__(self, path: str, ranks: str | None):
         from tokenizers import Tokenizer
@@ -142,6 +168,7 @@ class Ids:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.size = self.library.get_vocab_size()
         self.fast = None
         if ranks:
             import public_tokenizers
@@ -152,24 +179,28 @@ class Ids:
             special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=special)
 
-    def __call__(self, text: str) -> np.ndarray:
+    def part(self, text: str) -> np.ndarray:
         if self.fast:
             try:
                 text.encode("latin-1")
-                return np.array([*self.fast.encode(text, allowed_special="all"), END_MARK], np.uint32)
-            except UnicodeEncodeError:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except (UnicodeEncodeError, ValueError):  # the latter where the matcher gives up
                 pass
-        return np.array([*self.library.encode(text, add_special_tokens=False).ids, END_MARK], np.uint32)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def __call__(self, text: str) -> np.ndarray:
+        """The text's ids and the end mark."""
+        return np.concatenate([*map(self.part, chunks(text)), np.array([END_MARK], np.uint32)])
 
 
 _MADE: dict = {}
 
 
-def packed(docs, path: str, ranks: str | None = None, limits: Limits = Limits(), bears: Callable | None = None):
+def packed(docs, path: str, ranks: str | None = None, limits: Limits = Limits(), bears: str | None = None):
     """Pieces of every row of docs (doc_id, text); one pass, no shuffle.
 
-    bears(ids) says which ids of a text bear loss; all do where it is not given. Sequence ids start with the task's
-    number, so they are the same when a task runs again.
+    bears names a boolean column of docs that says whether the ids of a row bear loss; all do where it is not given.
+    Sequence ids start with the task's number, so they are the same when a task runs again.
     """
 
     def run(batches):
@@ -181,9 +212,9 @@ def packed(docs, path: str, ranks: str | None = None, limits: Limits = Limits(),
 
         def sequences():
             for b in batches:
-                for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for key, text, loss in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                     ids = ids_of(text.as_py() or "")
-                    yield from packer.add(key, ids, bears(ids) if bears else None)
+                    yield from packer.add(key, ids, np.full(len(ids), loss))
             yield from packer.close()
 
         rows = []
@@ -195,7 +226,10 @@ def packed(docs, path: str, ranks: str | None = None, limits: Limits = Limits(),
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    from pyspark.sql import functions as F
+
+    loss = F.coalesce(docs[bears], F.lit(False)) if bears else F.lit(True)
+    picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), loss.alias("bears"))
     return picked.mapInArrow(run, SCHEMA)
 
 
@@ -203,11 +237,29 @@ ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
 
 def documents_packed(docs):
+    """Every id of a document bears loss, so here the loss limit is the token limit; conversations_packed has its own."""
     import public_tokenizers as P
 
     return packed(docs, str(P.path("byte_bpe_50k.json")), str(P.path("byte_bpe_50k.tiktoken")))
 
 
+#: Limits of instruction data: half a sequence may bear loss.
+TURNS = Limits(segments=64, loss=LENGTH // 2)
+
+
+def conversations_packed(turns, limits: Limits = TURNS, answers: str = "assistant"):
+    """Turns of conversations as examples whose ids bear loss where the role is that of answers.
+
+    A row of turns is conv_id, turn, role, text; the result's doc_id is conv_id. Turns of a conversation are examples of
+    their own, each closed by the end mark; a null role is not that of answers.
+    """
+    import public_tokenizers as P
+    from pyspark.sql import functions as F
+
+    rows = turns.select(turns["conv_id"].alias("doc_id"), turns["text"], F.coalesce(turns["role"] == answers, F.lit(False)).alias("bears"))
+    return packed(rows, str(P.path("byte_bpe_50k.json")), str(P.path("byte_bpe_50k.tiktoken")), limits, "bears")
+
+
 def op7_vector_packing(spark, sf_dir: str):
     """All documents in sequences of at most 2048 tokens."""
     from orbweft.session import table

@@ -109,3 +109,42 @@ def test_three_limits_hold_at_once():
     pieces = sorted((p.key, p.start, len(p.ids)) for s in made for p in s)
     assert sum(p[2] for p in pieces) == total
     assert all(b[1] == a[1] + a[2] for a, b in zip(pieces, pieces[1:], strict=False) if a[0] == b[0])
+
+
+def test_tasks_without_pieces(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert len(packing.documents_packed(df.repartition(4)).collect()) == 2
+    assert packing.documents_packed(df.where("doc_id > 9").repartition(3)).count() == 0
+    assert list(packing.Packer().close()) == []
+
+
+def test_ids_are_the_librarys():
+    ids = packing.Ids(str(P.path("byte_bpe_50k.json")), str(P.path("byte_bpe_50k.tiktoken")))
+    want = lambda t: ids.library.encode(t, add_special_tokens=False).ids
+    for t in (" " * 10**6, " " * 10**6 + "x", "a" * 10**6, "a " * 300_000, "\n" * 10**5 + "b", "<|endoftext|> " * 20_000, "漢字。" * 50_000):
+        assert ids(t)[:-1].tolist() == want(t)
+    rng = random.Random(1)
+    for _ in range(4000):
+        t = "".join(rng.choice(" \n\t  ab'sté1,.<|>ende漢\x1c\x85\xa0oftext") for _ in range(rng.randrange(60)))
+        for size in (1, 7, 1 << 16):
+            assert [i for c in packing.chunks(t, size) for i in ids.part(c)] == want(t)
+
+
+def test_loss_limit_of_conversations(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    limits = packing.Limits(tokens=256, segments=8, loss=64)
+    more = spark.createDataFrame([(-1, 1, None, "x"), (-2, 1, "assistant", None), (-3, 1, "assistant", "y " * 900)], "conv_id long, turn long, role string, text string")
+    rows = packing.conversations_packed(turns.union(more), limits).collect()
+    ids = packing.Ids(str(P.path("byte_bpe_50k.json")), None)
+    bears = defaultdict(int)
+    for r in turns.union(more).collect():
+        bears[r.conv_id, tuple(ids(r.text or ""))] += (r.role == "assistant") * 1
+    known = {c: all(v for (k, _), v in bears.items() if k == c) for c, _ in bears}
+    by_seq = defaultdict(list)
+    for r in rows:
+        by_seq[r.sequence_id].append(r)
+    assert sum(r.length for r in rows) == sum(len(ids(r.text or "")) for r in turns.union(more).collect())
+    for own in by_seq.values():
+        assert sum(r.length for r in own) <= 256 and len(own) <= 8
+        assert sum(r.length for r in own if known[r.doc_id]) <= 64  # conversations of answers alone
+    assert max(r.length for r in rows if r.doc_id == -3) == 64
