@@ -5,8 +5,10 @@ can change the tokens before them. Merging runs in rank order, so a difference b
 only through a chain of rules of rising rank in which each rule's right operand is what the rule before it makes or
 takes away; L is the longest such chain, measured in symbols, and is computed from the list (``MergeList.lookahead``).
 The encoder keeps one window of a word, merges it, emits the tokens that end L or more symbols before its end and goes
-on from there. Memory is bounded by the window whatever the length of a text or word. The decoder is a state machine
-that takes ids and emits text as soon as its bytes form whole characters.
+on from there. Every word goes through this transducer; ids of short words are kept and looked up when they come again.
+Memory is bounded by the window and the table of kept words, whatever the length of a text or word; the one thing held
+whole is a run of combining marks or Hangul vowels and finals, as its normal form depends on all of it. The decoder is
+a state machine that takes ids and emits text as soon as its bytes form whole characters.
 
 Defined results: null text is the empty text, which has no tokens; repeated rows each give their own row; an empty
 table gives an empty result; other columns of the table, whatever their names, are not read.
@@ -31,14 +33,18 @@ END = "</w>"
 #: Characters of a text that are taken in at a time.
 CHUNK = 1 << 16
 #: Words and other runs between spaces kept with their ids in a generation; each Python worker has two.
-CACHE = 1 << 19
+CACHE = 1 << 18
 #: A full stop or comma after a word becomes a run of its own, so that the word is looked up as elsewhere.
 STOPS = re.compile("(?<=[a-zß-öø-ÿ])([.,])(?=[ \n]|$)")
 #: Spaces of Python that the pattern below takes for other characters.
 ODD = re.compile("[\x1c-\x1f]")
 SPACES = frozenset(" \n\t")
-#: A pre-token longer than this goes through the window, character by character.
+#: Characters before the end of what is held among which a place to cut is sought; longer words are not kept.
 LONG = 2048
+CONTRACTION = re.compile("'(?:s|t|re|ve|m|ll|d)", re.IGNORECASE | re.ASCII)
+#: ASCII signs that an apostrophe after them continues; the sign that ends a mark is none of them.
+SIGNS = frozenset("!\"#$%&'()*+,-./:;<=?@[\\]^_`{|}~")
+
 
 def byte_chars() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -47,23 +53,40 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
-def latin_pattern() -> re.Pattern:
-    """What a word is in texts within Latin-1."""
+class Words:
+    """What a word is, for given classes of letters, numbers and spaces; and what an open word goes on with."""
+
+    def __init__(self, letters: str, numbers: str, spaces: str):
+        signs = f"[^{spaces}{letters}{numbers}]+"
+        self.all = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|{signs}").findall
+        self.more = {"L": re.compile(f"[{letters}]+"), "P": re.compile(signs)}
+
+    def open_kind(self, word: str) -> str | None:
+        """What may follow within this word: letters, signs or, after a contraction or a number, nothing."""
+        return next((k for k, p in self.more.items() if p.fullmatch(word)), None)
+
+
+def latin_words() -> Words:
+    """For texts within Latin-1."""
     kinds = {k: "".join(re.escape(chr(c)) for c in range(256) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
-    space = re.escape("\t\n\x0b\x0c\r \x85\xa0")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{space}{kinds['L']}{kinds['N']}]+")
+    return Words(kinds["L"], kinds["N"], re.escape("\t\n\x0b\x0c\r \x85\xa0"))
 
 
-def any_pattern() -> re.Pattern:
-    """What a word is in any text, with the classes as the tokenizers library has them; Unicode versions differ between matchers."""
+def any_words() -> Words:
+    """For any text, with the classes as the tokenizers library has them; Unicode versions differ between matchers."""
     from tokenizers import Regex, pre_tokenizers
 
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    kinds = {}
-    for name, kind in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s")):
+    kinds = []
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
         split = pre_tokenizers.Split(Regex(kind + "+"), "removed", invert=True)
-        kinds[name] = "".join(f"{re.escape(t[0])}-{re.escape(t[-1])}" for t, _ in split.pre_tokenize_str(every))
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[^{kinds['S']}{kinds['L']}{kinds['N']}]+")
+        kinds.append("".join(f"{re.escape(t[0])}-{re.escape(t[-1])}" for t, _ in split.pre_tokenize_str(every)))
+    return Words(*kinds)
+
+
+def starts_anew(c: str) -> bool:
+    """Whether no normal form joins this character to those before it."""
+    return c < "\x80" or not (unicodedata.category(c)[0] == "M" or unicodedata.combining(c) or "\u1160" <= c <= "\u11ff" or "\U00016d40" <= c <= "\U00016d7f")
 
 
 class MergeList:
@@ -186,12 +209,12 @@ class Encoder:
         self.names = names | {i: t for t, i in self.special.items()}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.mark_len = max(map(len, self.special), default=1)
-        self.latin = latin_pattern()
+        self.latin = latin_words()
         self.runs = _Kept(self._run)
 
     @functools.cached_property
-    def any(self) -> re.Pattern:
-        return any_pattern()
+    def any(self) -> Words:
+        return any_words()
 
     @functools.cached_property
     def normal(self):
@@ -215,21 +238,27 @@ class Encoder:
         yield from out
 
     def _cut(self, s: str) -> int:
-        """Where s may be cut so that marks, normal forms and contractions before it no longer change.
+        """Where s may be cut so that marks, normal forms and words before it no longer change.
 
-        A space is such a place if no mark can span it. Without one, a letter that never joins the character before it.
+        A space is such a place if no mark can span it. Without one, any character that begins a normal form, unless a
+        mark spans the place or a contraction begins just before it; the word that is open there goes on after it.
         """
         for i in range(len(s) - self.mark_len, max(0, len(s) - LONG), -1):
             if s[i] in SPACES:
                 return i
-        for i in range(len(s) - max(self.mark_len, 8), max(0, len(s) - LONG), -1):
-            if unicodedata.category(s[i])[0] == "L" and not "ᄀ" <= s[i] <= "ᇿ" and s[i - 1].isalpha() and "<" not in s[max(0, i - self.mark_len) : i]:
-                return i
-        for i in range(len(s) - max(self.mark_len, 8), max(0, len(s) - LONG), -1):
-            if s[i] < "\x80" and "'" not in s[i - 4 : i + 4] and not any(s.find(m, max(0, i - len(m) + 1), i + len(m) - 1) >= 0 for m in self.special):
+        for i in range(len(s) - max(self.mark_len, 8), max(2, len(s) - LONG), -1):
+            if starts_anew(s[i]) and not self._spans(s, i):
                 return i
         return 0
 
+    def _spans(self, s: str, i: int) -> bool:
+        """Whether a mark or a contraction may begin before i and end after it."""
+        if any(s.find(m, max(0, i - len(m) + 1), i + len(m) - 1) >= 0 for m in self.special):
+            return True
+        if s[i - 1] == "'":
+            return s[i - 2] not in SIGNS and CONTRACTION.match(s, i - 1) is not None
+        return s[i - 2] == "'" and CONTRACTION.match(s, i - 2) is not None
+
     def _take(self, s: str, word: WordTransducer | None, closed: bool) -> tuple[list[bytes], WordTransducer | None]:
         """Ids of s; word is the pre-token that is open where s begins, or the one that is open where it ends."""
         out: list[bytes] = []
@@ -259,58 +288,43 @@ class Encoder:
             return word
         try:
             s.encode("latin-1")
-            latin, s = True, s.lower()
+            words, s = self.latin, s.lower()
         except UnicodeEncodeError:
-            latin, s = False, self.normal(s)
+            words, s = self.any, self.normal(s)
         if word is None and not open_end and not ODD.search(s):
             out.append(b"".join(map(self.runs.__getitem__, STOPS.sub(r" \1", s).split())))
             return None
-        found = (self.latin if latin else self.any).findall(s)
-        if word is not None and found:
-            joins = s.startswith(found[0]) and word.kind == self._kind(found[0][0])
-            if joins:
-                head = found.pop(0)
-                out.append(np.array(list(word.feed(head.encode())), "<u4").tobytes())
-                if open_end and not found and s.endswith(head):
+        if word is not None:
+            if head := words.more[word.kind].match(s):
+                out.append(np.array(list(word.feed(head[0].encode())), "<u4").tobytes())
+                if open_end and head.end() == len(s):
                     return word
-        word = self._close(word, out)
-        if open_end and found and s.endswith(found[-1]) and self._kind(found[-1][-1]) != "N":
-            tail = found.pop()
+                s = s[head.end() :]
+            word = self._close(word, out)
+        found = words.all(s)
+        if open_end and found and s.endswith(found[-1]) and (kind := words.open_kind(found[-1])):
+            tail = found.pop().encode()
             word = WordTransducer(self.merges)
-            word.kind = self._kind(tail[0])
-            out.append(b"".join(map(self.runs.__getitem__, found)))
-            out.append(np.array(list(word.feed(tail.encode())), "<u4").tobytes())
+            word.kind = kind
+            out += map(self._word, found)
+            out.append(np.array(list(word.feed(tail)), "<u4").tobytes())
             return word
-        if found and max(map(len, found)) > LONG:
-            out += [self._long(w) if len(w) > LONG else self._word(w) for w in found]
-        else:
-            out.append(b"".join(map(self.runs.__getitem__, found)))
+        out += map(self._word, found)
         return word
 
     def _word(self, word: str) -> bytes:
-        data = word.encode()
-        ids = self.merges.merge([*map(self.merges.base.__getitem__, data[:-1]), self.merges.last[data[-1]]])
+        one = WordTransducer(self.merges)
+        ids = [*one.feed(word.encode()), *one.end()]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _run(self, run: str) -> bytes:
         """Ids of what stands between two spaces, in lower case."""
         if run.isascii():
-            found = [run] if run.isalpha() else self.latin.findall(run)
+            found = [run] if run.isalpha() else self.latin.all(run)
         else:
-            found = self.any.findall(run)
-        if len(run) > LONG:
-            return b"".join(self._long(w) if len(w) > LONG else self._word(w) for w in found)
+            found = self.any.all(run)
         return b"".join(map(self._word, found))
 
-    def _long(self, word: str) -> bytes:
-        one = WordTransducer(self.merges)
-        return np.array([*one.feed(word.encode()), *one.end()], "<u4").tobytes()
-
-    @staticmethod
-    def _kind(c: str) -> str:
-        k = unicodedata.category(c)[0]
-        return k if k in "LN" else "P"
-
 
 class _Kept(dict):
     """Ids of keys met before, as little-endian bytes, in two generations: a full one becomes the old one."""

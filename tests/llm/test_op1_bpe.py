@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -26,12 +26,41 @@ def test_any_text(text):
     same(text)
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=5000, deadline=None)
 @given(st.text("abé ́'<|>endoftextΣ½1\n\x1c漢하", max_size=60))
+@example("<'d1111111111111")
+@example("\",t't>'\n ,<e'és>|'!!a")
 def test_awkward_text(text):
     same(text)
 
 
+@pytest.mark.parametrize("signs", ["abé ́'<|>endoftextΣ½1\n\x1c漢하", "'rvlsdmtRE!", "<|endoftext|>'s", "'!ᄀ각é", "😀'.a"])
+def test_cut_anywhere(signs):
+    """Whatever the text's parts, ids are those of the whole; without long runs of marks little is held."""
+    rng = random.Random(signs)
+    for k in range(400):
+        text = "".join(rng.choice([*signs, "<|endoftext|>", "'ll"]) for _ in range(rng.randrange(200)))
+        step = rng.choice([1, 3, 16, 50])
+        got = b"".join(ENCODER.pieces(text[i : i + step] for i in range(0, len(text), step)))
+        assert np.frombuffer(got, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("part", ["😀", "'", "'r", "'ll", "!'s", "<", "<|endoftext|>", "漢", "하", "é", "a", "1", "x'y", "e\u0301"])
+def test_what_is_held_is_bounded(part):
+    text, most, cut = part * 40_000, 0, bpe.Encoder._cut
+
+    class Watched(bpe.Encoder):
+        def _cut(self, s):
+            nonlocal most
+            most = max(most, len(s))
+            return cut(self, s)
+
+    w = Watched(PATH)
+    got = b"".join(w.pieces(text[i : i + 4096] for i in range(0, len(text), 4096)))
+    assert np.frombuffer(got, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert most <= 2 * 4096
+
+
 @pytest.mark.parametrize("text", ["", " ", "<|endoftext|>a<|startoftext|> b", "a" * 30000, "thean" * 30000 + " x", "é" * 70000, "하" * 40000, "!" * 70000 + "a", "x" * 65530 + "'ll be", "a" * 65530 + "<|endoftext|>b"])
 def test_long_and_marked(text):
     same(text)
@@ -48,6 +77,16 @@ def test_window_is_bounded_and_exact():
         assert one.peak <= one.size
 
 
+def test_window_over_the_whole_vocabulary():
+    rng, m = random.Random(6), ENCODER.merges
+    names = [t.removesuffix("</w>").encode() for t in ENCODER.names.values() if t.removesuffix("</w>").isascii()]
+    for _ in range(150):
+        data = b"".join(rng.choice(names) for _ in range(900))
+        one = bpe.WordTransducer(m)
+        assert [*one.feed(data), *one.end()] == m.merge([*map(m.base.__getitem__, data[:-1]), m.last[data[-1]]])
+        assert one.peak <= one.size
+
+
 def test_table(spark):
     rows = [(1, "Hello, World's end"), (2, None), (3, ""), (None, "x"), (1, "Hello, World's end")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "2 AS ids_sha256")
