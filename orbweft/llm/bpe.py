@@ -165,13 +165,17 @@ class WordTransducer:
         self.peak = 0
 
     def feed(self, data: bytes) -> Iterator[int]:
-        base = self.m.base
-        for byte in data:
-            if self.held is not None:
-                self.window.append(base[self.held])
-            self.held = byte
-            if len(self.window) >= self.size:
-                yield from self._stable()
+        if not data:
+            return
+        symbol, at = self.m.base.__getitem__, 0
+        if self.held is not None:
+            self.window.append(symbol(self.held))
+        self.held = data[-1]
+        while (until := at + self.size - len(self.window)) < len(data):
+            self.window += map(symbol, data[at:until])
+            at = until
+            yield from self._stable()
+        self.window += map(symbol, data[at:-1])
 
     def _stable(self) -> Iterator[int]:
         self.peak = max(self.peak, len(self.window))
