@@ -33,7 +33,7 @@ END = "</w>"
 #: Characters of a text that are taken in at a time.
 CHUNK = 1 << 16
 #: Words and other runs between spaces kept with their ids in a generation; each Python worker has two.
-CACHE = 1 << 18
+CACHE = 1 << 19
 #: A full stop or comma after a word becomes a run of its own, so that the word is looked up as elsewhere.
 STOPS = re.compile("(?<=[a-zß-öø-ÿ])([.,])(?=[ \n]|$)")
 #: Spaces of Python that the pattern below takes for other characters.
