@@ -16,16 +16,15 @@ import hashlib
 import json
 import re
 import urllib.parse
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweft.llm.files import open_fs, publish
 from orbweft.session import folder, stored, table
 
 #: Payload bytes after which a task begins another archive; bytes inflated at a time; compression level.
@@ -87,20 +86,6 @@ class Parser:
             raise ValueError("the archive ends within a record")
 
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
-
-
-def publish(uri: str, write) -> str:
-    """Have write(stream) fill a file of its own and move it to uri; a task that runs again replaces it with the same."""
-    fs, path = open_fs(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(draft := f"{path}.{uuid.uuid4().hex}") as out:
-        write(out)
-    fs.move(draft, path)
-    return uri
-
-
 def gzip_whole(records: Iterable[Record], out) -> None:
     squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     for r in records:
