@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -57,9 +58,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; one of our own where it is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; one of our own where it is unset and all is local."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="orbweft-")
         spark.conf.set("spark.checkpoint.dir", given)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -68,6 +71,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[str] = []
+_AT: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -76,17 +81,38 @@ def folder(spark: SparkSession, name: str) -> str:
     return _WRITTEN[-1]
 
 
-def stored(df: DataFrame, name: str, *, partitions: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at durable files."""
+def stored(df: DataFrame, name: str, *, partitions: int | None = None, compression: str = "snappy") -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends at durable files.
+
+    Shuffle files that only led to it are deleted once it is written.
+    """
     spark = df.sparkSession
     path = folder(spark, name)
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        (df.coalesce(partitions) if partitions else df).write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _AT[out] = path
+    return out
+
+
+def forget(*written: DataFrame) -> None:
+    """Delete what stored() has written for these; nothing may read them any more."""
+    for df in written:
+        path = _AT.pop(df)
+        _WRITTEN.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete what stored() has written; results that still read it must be done with."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
