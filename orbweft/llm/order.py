@@ -18,6 +18,7 @@ are not read.
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -34,8 +35,8 @@ from orbweft.llm.packing import LENGTH, Ids, Limits, Packer
 from orbweft.session import folder, stored, table
 
 KEY, ROUNDS, PER_SHARD, WIDTH = 20240101, 4, 4096, 2
-#: Tasks that write shards there are at most; each writes a run of shards.
-TASKS = 20_000
+#: Tasks that write shards there are at most, each a run of shards; parts in which all shards are written.
+TASKS, WAVES = 20_000, 2
 _MADE: dict = {}
 
 PIECES = pa.list_(pa.struct([(n, pa.int64()) for n in ("doc_id", "start", "length")]))
@@ -113,12 +114,14 @@ def ordered(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
 WRITTEN = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "slot", "shard", "offset", "at", "ids_crc32")])
 
 
-def written(rows: DataFrame, count: int, place: str, per_shard: int = PER_SHARD, width: int = WIDTH, length: int = LENGTH) -> DataFrame:
-    """A row for each piece, after its shard is written: where its sequence lies and how many ids come before it there."""
-    shards = max(1, -(-count // per_shard))
+def written(rows: DataFrame, first: int, end: int, place: str, per_shard: int = PER_SHARD, width: int = WIDTH, length: int = LENGTH) -> DataFrame:
+    """A row for each piece of slots from first to end, after its shard is written: where its sequence lies and how many
+    ids come before it there. Both ends are multiples of per_shard."""
+    shards = max(1, (end - first) // per_shard)
     tasks = min(shards, TASKS)
-    shard = F.floor(F.col("slot") / per_shard)
-    cut = rows.repartitionById(tasks, F.floor(shard * tasks / shards).cast("int")).sortWithinPartitions("slot")
+    shard = F.floor((F.col("slot") - first) / per_shard)
+    here = rows.where((F.col("slot") >= first) & (F.col("slot") < end))
+    cut = here.repartitionById(tasks, F.floor(shard * tasks / shards).cast("int")).sortWithinPartitions("slot")
     stride = width * length
 
     def run(batches):
@@ -155,12 +158,17 @@ def shard_path(place: str, shard: int) -> str:
 
 
 def materialised(docs: DataFrame, place: str, path: str, ranks: str | None, key: int = KEY, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write all sequences of docs in training order to place, with a manifest; the rows of written()."""
-    rows, count = ordered(stored(sequences(docs, path, ranks), "sequences"), key)
-    out = stored(written(rows, count, place, per_shard), "order")
+    """Write all sequences of docs in training order to place, with a manifest; the rows of written().
+
+    Shards are written in WAVES runs, one after another, so that so much less is on its way between tasks at once.
+    """
+    rows, count = ordered(stored(sequences(docs, path, ranks), "sequences", compression="zstd"), key)
+    shards = -(-count // per_shard)
+    ends = [shards * w // WAVES * per_shard for w in range(WAVES + 1)]
+    waves = [stored(written(rows, a, b, place, per_shard), "order") for a, b in zip(ends, ends[1:], strict=False) if a < b or not count]
     about = {"count": count, "per_shard": per_shard, "length": LENGTH, "width": WIDTH, "key": key}
     publish(f"{place}/order.json", lambda f: f.write(json.dumps(about).encode()))
-    return out
+    return functools.reduce(DataFrame.union, waves)
 
 
 class Reader:
