@@ -27,15 +27,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweft.llm.arrays import batch, flat, mix, runs
-from orbweft.session import stored, table
+from orbweft.session import forget, stored, table
 
 WORDS, PERCENT = 5, 80
 #: Bytes hashed at a time; bytes within which repeats of a shingle are counted.
 SLICE, WINDOW = 1 << 20, 1 << 24
 #: A shingle is common from so many counted repeats on; commonness is kept in a table of fixed size.
 COMMON, SLOT_BITS = 64, 20
-#: Common shingles' postings go to so many tasks.
-SALTS = 16
+#: Common shingles' postings are dealt to one task for each so many counted repeats, a power of two.
+SALTED = 4096
+#: Rows of one key that a task holds at once.
+HELD = 1 << 17
 #: Of classes, one in 16 ** level has that level, TOP at most; in tiles up to SMALL all have TOP.
 STEP_BITS, TOP, SMALL = 4, 7, 32
 #: Numbers of 64 bits of the bitmap that a tile's rows carry.
@@ -60,27 +62,55 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the texts, and the number of words before each text."""
+def raw_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polynomial over the bytes of each word, its start and its end; words also part at the edges of texts."""
     n = len(data)
     word = ~_SPACE[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
-    full = off[1:] > off[:-1]
-    a, b = off[:-1][full], off[1:][full] - 1
+    full = edges[1:] > edges[:-1]
+    a, b = edges[:-1][full], edges[1:][full] - 1
     first[a], last[b] = word[a], word[b]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, off)
+    return (total[ends] - total[starts]) * down[starts], starts, ends
+
+
+def long_words(data: np.ndarray, step: int) -> np.ndarray:
+    """Hash of every word of one text, taken in step bytes at a time; a word goes on over any number of steps."""
+    out: list[np.ndarray] = []
+    part, size = np.zeros(1, np.uint64), 0  # of the word that is open
+    for i in range(0, len(data), step):
+        piece = data[i : i + step]
+        raw, starts, ends = raw_words(piece, np.array([0, len(piece)]))
+        if size and (not len(raw) or starts[0] > 0):
+            out.append(part)
+            size = 0
+        elif size:
+            raw[0] = (part + raw[:1] * np.array([pow(int(_PRIME), size, 1 << 64)], np.uint64))[0]
+            size += int(ends[0]) if len(raw) == 1 else 0
+        if len(raw) and ends[-1] == len(piece):
+            size = size if len(raw) == 1 and size else int(ends[-1] - starts[-1])
+            part, raw = raw[-1:].copy(), raw[:-1]
+        else:
+            size = 0
+        out.append(raw)
+    if size:
+        out.append(part)
+    return mix(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the texts, and the number of words before each text."""
+    raw, starts, _ = raw_words(data, off)
+    return mix(raw), np.searchsorted(starts, off)
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
+def shingle_sets(words: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     """Of each text the sorted hashes of its distinct shingles."""
-    words, at = word_hashes(data, off)
     part = words * _PLACES[0]
     if len(words) >= WORDS:
         whole = part[: len(words) - WORDS + 1].copy()
@@ -98,10 +128,14 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
             yield words[:0]
 
 
-def column_sets(column: pa.Array) -> Iterator[np.ndarray]:
+def column_sets(column: pa.Array, slice_: int = SLICE) -> Iterator[np.ndarray]:
     data, off = flat(column)
-    for a, b in runs(off, SLICE):
-        yield from shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a])
+    for a, b in runs(off, slice_):
+        if off[b] - off[a] > slice_:  # one long text
+            words = long_words(data[off[a] : off[b]], slice_)
+            yield from shingle_sets(words, np.array([0, len(words)]))
+        else:
+            yield from shingle_sets(*word_hashes(data[off[a] : off[b]], off[a : b + 1] - off[a]))
 
 
 def class_of(s: np.ndarray) -> int:
@@ -175,7 +209,7 @@ def scan(texts: DataFrame) -> DataFrame:
 def common_levels(repeats: DataFrame) -> np.ndarray:
     """For each slot of the hash space how common its commonest shingle is; a table of fixed size."""
     slot = F.shiftrightunsigned("cls", 64 - SLOT_BITS)
-    level = F.least(F.floor(F.log2(F.col("n") / COMMON)) + 1, F.lit(15))
+    level = F.floor(F.log2(F.col("n") / COMMON)) + 1
     found = repeats.groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select(slot.cast("int").alias("slot"), level.cast("int").alias("level"))
     rows = found.groupBy("slot").agg(F.max("level").alias("level")).toPandas()
     out = np.zeros(1 << SLOT_BITS, np.uint8)
@@ -183,6 +217,12 @@ def common_levels(repeats: DataFrame) -> np.ndarray:
     return out
 
 
+def salt_of(own: np.ndarray, cls: int) -> np.ndarray:
+    """0 for shingles that are not common, else one of as many numbers as tasks share the shingle's postings."""
+    many = np.int64(1) << np.clip(own.astype(np.int64) - SALTED.bit_length() + COMMON.bit_length(), 0, 30)
+    return np.where(own > 0, 1 + (cls >> 24) % many, 0).astype(np.int32)
+
+
 def prefixes(texts: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
     """key, salt, cls, n of the shingles by which a class may be found."""
     schema = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("n", pa.int32())])
@@ -206,7 +246,7 @@ def prefixes(texts: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
                 else:
                     s, own = s[:k], own[:k]
                 keys.append(s)
-                salts.append(np.where(own > 0, 1 + c % SALTS, 0).astype(np.int32))
+                salts.append(salt_of(own, c))
                 classes.append(np.full(len(s), c))
                 sizes.append(np.full(len(s), n, np.int32))
             if keys:
@@ -215,7 +255,7 @@ def prefixes(texts: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "key long, salt int, cls long, n int")
 
 
-def tiles(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+def tiles(postings: DataFrame, percent: int = PERCENT, held_rows: int = HELD) -> DataFrame:
     """tile, cls, n of the classes that share a shingle and whose sizes form a band; tiles of the same classes are one.
 
     Within a key classes come by size, and a tile ends where the next size is too large for any link. A key whose rows
@@ -249,11 +289,13 @@ def tiles(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
         return batch(schema, np.repeat(tile, size)[each], cls[each], n[each])
 
     def run(batches):
-        held, seen = [], set()
+        held, seen, large = [], set(), None
         for b in batches:
             part = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if not len(part[0]):
                 continue
+            if large is not None:  # what is left of a key whose first rows have gone out as a tile
+                part[1] = np.where(part[0] == large, np.maximum(part[1], 1), part[1])
             held.append(part)
             rows = sum(len(p[0]) for p in held)
             whole = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -261,7 +303,8 @@ def tiles(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
             if last:
                 yield cut(*(c[:last] for c in whole), seen)
                 held = [[c[last:] for c in whole]]
-            elif rows > 1 << 17:  # a key beyond what is held at once is a tile by itself
+            elif rows > held_rows:  # a key beyond what is held at once is one tile of all its classes
+                large = whole[0][0]
                 whole[1] = np.maximum(whole[1], 1)
                 yield cut(*whole, seen)
                 held = []
@@ -371,13 +414,17 @@ def components(links: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u <> v").distinct(), "edges")
+        after = stored(small.where("u <> v").distinct(), "edges")
+        forget(edges)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = stored(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    forget(edges)
+    return out
 
 
 def level(cls: Column) -> Column:
@@ -389,29 +436,40 @@ def level(cls: Column) -> Column:
 
 
 def links_of(texts: DataFrame, repeats: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """node, root of the classes that link with another; None where no two share a shingle."""
-    shared = stored(tiles(prefixes(texts, common_levels(repeats), percent), percent), "shared").dropDuplicates(["tile", "cls"])
-    sizes = shared.groupBy("tile").agg(F.count("*").alias("m")).where("m > 1")
-    members = shared.join(sizes, "tile").withColumn("level", F.when(F.col("m") <= SMALL, TOP).otherwise(level(F.col("cls"))))
+    """node, root of the classes that link with another; None where no two share a shingle.
+
+    A written table is deleted as soon as the one that replaces it is written.
+    """
+    shared = stored(tiles(prefixes(texts, common_levels(repeats), percent), percent), "shared")
+    once = shared.dropDuplicates(["tile", "cls"])
+    sizes = once.groupBy("tile").agg(F.count("*").alias("m")).where("m > 1")
+    members = once.join(sizes, "tile").withColumn("level", F.when(F.col("m") <= SMALL, TOP).otherwise(level(F.col("cls"))))
     members = stored(members.select("tile", "cls", "n", "level", (F.col("m") > SMALL).alias("large")), "tiles")
+    forget(shared)
     if members.isEmpty():
+        forget(members)
         return None
     known = stored(signatures(texts, members), "signatures")
     names = [f"mark{i}" for i in range(MARKS)]
-    members = stored(members.join(known.groupBy("cls").agg(*[F.min(n).alias(n) for n in names]), "cls"), "marked")
-    links, roots, left = None, None, members.withColumn("root", F.col("cls"))
-    top = members.where("large").agg(F.max("level")).first()[0] or 0
+    marked = stored(members.join(known.groupBy("cls").agg(*[F.min(n).alias(n) for n in names]), "cls"), "marked")
+    forget(members)
+    large = marked.where("large")
+    top = large.agg(F.max("level")).first()[0] or 0
+    links = roots = open_ = None
+    left = marked.withColumn("root", F.col("cls"))
     for now in range(top, -1, -1):
         if now < top:  # tiles that are small or within one component are done with
-            left = members.where("large")
+            left = large
             if roots is not None:
                 left = left.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
                 left = left.withColumn("root", F.coalesce("root", "cls"))
-                open_ = left.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tile")
-                left = left.join(open_, "tile")
+                several = left.groupBy("tile").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("tile")
+                left = left.join(several, "tile")
             else:
                 left = left.withColumn("root", F.col("cls"))
-            left = stored(left.select("tile", "cls", "n", "level", "root", *names), "open")
+            if open_ is not None:
+                forget(open_)
+            left = open_ = stored(left.select("tile", "cls", "n", "level", "root", *names), "open")
             if left.isEmpty():
                 break
         first = left.where((F.col("level") >= now) if now == top else (F.col("level") == now)).select(F.col("level").alias("level_x"), "tile", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("root").alias("root_x"), *[F.col(k).alias(f"{k}_x") for k in names])
@@ -423,12 +481,19 @@ def links_of(texts: DataFrame, repeats: DataFrame, percent: int = PERCENT) -> Da
         pairs = first.join(other, "tile").where((F.col("root_x") != F.col("root_y")) & alike & ((F.col("level_y") < F.col("level_x")) | ((F.col("level_y") == F.col("level_x")) & (F.col("x") < F.col("y")))))
         up = F.col("x") < F.col("y")
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(up, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(up, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b")).distinct()
-        likely = stored(bounded(stored(pairs, "pairs"), known, percent), "likely")
+        pairs = stored(pairs, "pairs")
+        likely = stored(bounded(pairs, known, percent), "likely")
+        forget(pairs)
         found = stored(verified(likely, known, percent), "links")
-        if found.isEmpty():
-            continue
-        roots = stored(components(found if links is None else links.union(found)), "roots")
-        links = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        forget(likely)
+        if not found.isEmpty():
+            merged = components(found if links is None else links.union(found))
+            if roots is not None:
+                forget(roots)
+            roots = merged
+            links = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        forget(found)
+    forget(marked, known, *([open_] if open_ is not None else []))
     return roots
 
 

@@ -53,6 +53,32 @@ def test_sets_have_the_right_sizes(texts):
         assert by.setdefault(J.class_of(s), shingles(t)) == shingles(t)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("aAb É\t\n.", max_size=80), st.integers(1, 9))
+def test_long_texts_give_the_same_sets(text, step):
+    import pyarrow as pa
+
+    column = pa.array([text, None, text + " x", ""], pa.string())
+    for a, b in zip(J.column_sets(column), J.column_sets(column, step), strict=True):
+        assert (a == b).all() and len(a) == len(b)
+
+
+def test_a_key_beyond_what_is_held_is_one_tile(spark):
+    rows = spark.range(30_000).selectExpr("7L AS key", "0 AS salt", "id AS cls", "CAST(10 + id % 3 AS INT) AS n")
+    more = spark.range(50).selectExpr("id % 5 + 8 AS key", "0 AS salt", "100000 + id AS cls", "10 AS n")
+    got = J.tiles(rows.union(more), held_rows=4000).dropDuplicates(["tile", "cls"]).toPandas()
+    big = got[got.cls < 30_000]
+    assert big.tile.nunique() == 1 and big.cls.nunique() == 30_000
+    assert sorted(got[got.cls >= 100_000].groupby("tile").size()) == [10] * 5
+
+
+def test_salts_grow_with_the_postings():
+    own = np.array([0, 1, 7, 8, 20], np.uint8)
+    seen = np.stack([J.salt_of(own, int(c)) for c in np.random.default_rng(3).integers(-(2**62), 2**62, 4000)])
+    assert [len(np.unique(x)) for x in seen.T[:4]] == [1, 1, 2, 4] and (seen[:, 0] == 0).all() and (seen[:, 1:] > 0).all()
+    assert len(np.unique(seen[:, 4])) > 3000
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(1)
     for n, m, k in ((10, 12, 5), (200, 240, 180), (1000, 900, 100), (65, 64, 60)):
