@@ -1,15 +1,15 @@
 """Exact dedup against immutable snapshots, screened by static binary-fuse filters.
 
-A snapshot is a set of texts that no longer changes. Its digests are dealt into buckets by their first bits, and each
-bucket carries a three-wise binary-fuse filter, which answers for a digest with one byte compare and is wrong for one
-in 256 that the bucket lacks. An incoming batch is first grouped on its own, so copies within it cost one row however
+A snapshot is a set of texts that no longer changes; it can be saved and loaded, and a batch can meet several. Its
+digests are dealt into buckets by a hash, and each bucket carries a three-wise binary-fuse filter, which answers for a
+digest with one byte compare and is wrong for one in 256 that the bucket lacks. An incoming batch is first grouped on its own, so copies within it cost one row however
 many they are; its digests then meet the filter of their bucket, and only those that pass are joined with the exact
 bucket. Of each group that either step finds, the bytes of the members are compared, not only their digests.
 
 Texts are equal when they are identical after lower-casing A-Z. Defined results: a null text is the empty text; of equal
 texts the row with the largest doc_id stays, null being smaller than any; rows that repeat a doc_id within a group are
 all marked kept where theirs is the largest; an empty table or snapshot gives an empty result; other columns are not
-read.
+read. Of rows that agree in doc_id and text, kept() keeps the first by their JSON form.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweft.llm.arrays import mix
-from orbweft.session import stored, table
+from orbweft.session import forget, stored, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Digests a bucket holds on average at most; buckets there are at least.
 BUCKET, LEAST = 1 << 16, 64
+#: Rows of an id, a digest and two numbers that are broadcast at most; more are joined by a shuffle.
+SENT = 1 << 18
 
 
 def normalised(text: Column) -> Column:
@@ -96,6 +98,17 @@ class Snapshot:
     filters: DataFrame
     buckets: int
 
+    def save(self, path: str) -> None:
+        """Write the snapshot to a new folder for later batches."""
+        self.entries.withColumn("buckets", F.lit(self.buckets)).write.parquet(f"{path}/entries")
+        self.filters.withColumn("buckets", F.lit(self.buckets)).write.parquet(f"{path}/filters")
+
+    @classmethod
+    def load(cls, spark, path: str) -> Snapshot:
+        entries, filters = (spark.read.parquet(f"{path}/{k}") for k in ("entries", "filters"))
+        first = filters.select("buckets").first()
+        return cls(entries.drop("buckets"), filters.drop("buckets"), first[0] if first else LEAST)
+
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and digest of every row; texts are read and left."""
@@ -138,6 +151,16 @@ def screened(batch: DataFrame, snap: Snapshot) -> DataFrame:
     return batch.groupBy("bucket").cogroup(snap.filters.groupBy("bucket")).applyInArrow(screen, batch.schema)
 
 
+def against(batch: DataFrame, snapshots: list[Snapshot]) -> DataFrame:
+    """digest, keep_id, n of every digest of a grouped batch, together with what any of the snapshots has of it."""
+    own = batch.select("digest", "keep_id", "n")
+    for snap in snapshots:
+        dealt = batch.withColumn("bucket", F.pmod("h", F.lit(snap.buckets)).cast("int"))
+        hits = screened(dealt, snap).select("digest")
+        own = own.union(snap.entries.join(hits, "digest", "left_semi").select("digest", "keep_id", "n"))
+    return own.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+
+
 def merged(batch: DataFrame, snap: Snapshot) -> DataFrame:
     """digest, keep_id, n of every group of the batch and the snapshot together."""
     hits = stored(screened(batch, snap), "hits").select("digest", F.col("keep_id").alias("new_id"), F.col("n").alias("new_n"))
@@ -148,31 +171,36 @@ def merged(batch: DataFrame, snap: Snapshot) -> DataFrame:
     return both.union(rest[0]).union(rest[1])
 
 
-def byte_checked(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, keep_id, n of the rows of groups of several, by their bytes.
+def sent(written: DataFrame, limit: int = SENT) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has no more rows than limit."""
+    return F.broadcast(written) if written.count() <= limit else written
+
+
+def byte_checked(docs: DataFrame, several: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """digest, keep_id, n of the groups of several texts (digest), by their bytes.
 
     Rows whose digests agree are grouped once more by the text itself, so equal digests of unequal texts part here.
     Copies are combined before the shuffle, so a group of any size sends one text from each task.
     """
     text = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
-    several = rows.join(groups.where("n > 1").select("digest"), "digest", "left_semi")
-    return several.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).select("digest", F.xxhash64("text").alias("mark"), "keep_id", "n")
+    copies = rows.join(several.select("digest"), "digest", "left_semi")
+    return copies.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).select("digest", "keep_id", "n")
 
 
-def deduplicated(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_col: str = "text", limit: int = SENT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; incoming says which rows are the new batch."""
     rows = stored(keyed(docs, id_col, text_col).withColumn("new", F.coalesce(incoming, F.lit(False))), "keys")
     buckets = buckets_for(rows.count())
     snap = snapshot(rows.where("NOT new").drop("new"), buckets)
     batch = stored(grouped(rows.where("new").drop("new"), buckets), "batch")
-    groups = stored(merged(batch, snap), "groups")
-    checked = stored(byte_checked(docs, groups, id_col, text_col), "checked")
+    several = stored(merged(batch, snap).where("n > 1").select("digest"), "several")
+    forget(batch, snap.entries, snap.filters)
+    checked = stored(byte_checked(docs, sent(several, limit), id_col, text_col), "checked")
     unequal = checked.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
     if not unequal.isEmpty():
         raise ValueError("two unequal texts have one SHA-256 digest")
-    several = checked.select("digest", "keep_id", "n")
-    out = rows.join(several, "digest", "left")
+    out = rows.join(sent(checked, limit), "digest", "left")
     keep = F.coalesce("keep_id", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
@@ -187,14 +215,18 @@ def op2_fuse_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"), later_half(F.col("doc_id")))
 
 
-def kept(docs: DataFrame) -> DataFrame:
-    """One row of docs for each text, with its columns: that with the largest doc_id, the smallest row if several have it."""
-    stay = deduplicated(docs, later_half(F.col("doc_id"))).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"))
+def kept(docs: DataFrame, limit: int = SENT) -> DataFrame:
+    """One row of docs for each text, with its columns: that with the largest doc_id, the first by JSON if several have it.
+
+    Only the keys of rows that go, or that stand for several alike, are joined back.
+    """
+    keys = deduplicated(docs, later_half(F.col("doc_id")), limit=limit).where("group_size > 1").groupBy("doc_id", "text_sha256", "kept").agg(F.count("*").alias("n"))
+    keys = stored(keys.where("NOT kept OR n > 1"), "gone")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("sha"))
     match = lambda k: rows.id.eqNullSafe(k.doc_id) & (rows.sha == k.text_sha256)
-    once, again = stay.where("n = 1"), stay.where("n > 1")
-    several = rows.join(again, match(again), "left_semi").groupBy("id", "sha").agg(F.min("row").alias("row"))
-    return rows.join(once, match(once), "left_semi").select("row.*").union(several.select("row.*"))
+    gone, again = sent(keys, limit), sent(keys.where("kept"), limit)
+    alike = rows.join(again, match(again), "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.join(gone, match(gone), "left_anti").select("row.*").union(alike.select("row.*"))
 
 
 OP2_SQL = """
