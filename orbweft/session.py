@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 #: Bytes of an Arrow batch; rows may be long texts.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def build(master: str = "local[8]", partitions: int = 8, memory: str = "12g") -> SparkSession:
