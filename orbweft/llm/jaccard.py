@@ -31,7 +31,7 @@ from orbweft.session import forget, stored, table
 
 WORDS, PERCENT = 5, 80
 #: Bytes hashed at a time; bytes within which repeats of a shingle are counted.
-SLICE, WINDOW = 1 << 20, 1 << 24
+SLICE, WINDOW = 1 << 18, 1 << 24
 #: A shingle is common from so many counted repeats on; commonness is kept in a table of fixed size.
 COMMON, SLOT_BITS = 64, 20
 #: Common shingles' postings are dealt to one task for each so many counted repeats, a power of two.
@@ -183,9 +183,11 @@ def scan(texts: DataFrame) -> DataFrame:
         size = 0
 
         def repeats():
-            key, n = np.unique(np.concatenate(list(window.values())), return_counts=True)
-            key, n = key[n > 1], n[n > 1]
-            return batch(schema, np.zeros(len(key), bool), pa.nulls(len(key), pa.int64()), n, key.astype(np.int64))
+            keys = np.concatenate(list(window.values()))
+            window.clear()
+            keys.sort()
+            key, n = np.unique(keys[1:][keys[1:] == keys[:-1]], return_counts=True)
+            return batch(schema, np.zeros(len(key), bool), pa.nulls(len(key), pa.int64()), n + 1, key.view(np.int64))
 
         for b in batches:
             n, cls = [], []
@@ -197,7 +199,6 @@ def scan(texts: DataFrame) -> DataFrame:
                     size += 6 * len(s)
                     if size >= WINDOW:
                         yield repeats()
-                        window.clear()
                         size = 0
             yield batch(schema, np.ones(len(n), bool), b.column(0), n, cls)
         if window:
