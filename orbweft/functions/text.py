@@ -26,7 +26,7 @@ def one_line(text: Column, size: int = 240) -> Column:
 
 def code_shaped(word: Column) -> Column:
     """Whether a word looks like code: an inner capital, an underscore, a dollar, a digit or a dot."""
-    return word.rlike(r"[a-z][A-Z]|[_$.]|[0-9]")
+    return word.rlike(r"[a-z][A-Z]|[_$.]|[0-9]|^[A-Z].*[A-Z]")
 
 
 def est_tokens(text: Column) -> Column:

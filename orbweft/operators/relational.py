@@ -51,16 +51,42 @@ def cascade(refs: DataFrame, tiers: list[tuple[DataFrame, list[str], str, float]
     return out.join(first, [ref, "tier"]).select(ref, "target", "tier", "resolver", "confidence").distinct()
 
 
-def sessions(events: DataFrame, key: str, ts: Column, *, gap_s: float, most_s: float) -> DataFrame:
-    """key, session, start_s, n: bursts that end after a quiet gap, or most_s after their first event, whichever is first.
+def sessions(events: DataFrame, key: str, ts: str, tie: str, *, gap_us: int, most_us: int) -> DataFrame:
+    """key, session, start_us, end_us, n: bursts that end after a quiet gap, or where the next event is more than most_us
+    after the first; that event begins the next burst, as in streaming.maintain.debounced.
 
-    Quiet gaps are found by a window; a burst is then cut into stretches of most_s from its start.
+    Where a burst begins depends on the one before, so a key's events pass through one task in order; it holds one burst.
     """
-    own = Window.partitionBy(key).orderBy("t", "event_id")
-    t = events.select(key, "event_id", ts.cast("double").alias("t")).withColumn("new", (F.col("t") - F.lag("t").over(own) > gap_s).cast("int"))
-    t = t.withColumn("burst", F.coalesce(F.sum(F.coalesce("new", F.lit(1))).over(own), F.lit(0)))
-    t = t.withColumn("first", F.min("t").over(Window.partitionBy(key, "burst"))).withColumn("part", F.floor((F.col("t") - F.col("first")) / most_s))
-    return t.groupBy(key, "burst", "part").agg(F.min("t").alias("start_s"), F.count("*").alias("n"))
+    import pyarrow as pa
+
+    own = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("tie")).where("t IS NOT NULL")
+    schema = pa.schema([("session", pa.int64()), ("start_us", pa.int64()), ("end_us", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        at, number, first, last, n = None, 0, 0, 0, 0
+        for b in batches:
+            keys, rows = [], []
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if n and (k != at or t - last > gap_us or t - first > most_us):
+                    keys.append(at)
+                    rows.append((number, first, last, n))
+                    number, first, n = number + 1, t, 0
+                if not n:
+                    first = t
+                if k != at or number == 0:
+                    at, number = k, 1
+                last, n = t, n + 1
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, kind), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["key", *schema.names])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([at], kind), *(pa.array([c], pa.int64()) for c in (number, first, last, n))], ["key", *schema.names])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(own.schema["key"].dataType)
+    out = own.select("key").schema.add("session", "long").add("start_us", "long").add("end_us", "long").add("n", "long")
+    done = own.repartition("key").sortWithinPartitions("key", "t", "tie").select("key", "t").mapInArrow(run, out)
+    return done.withColumnRenamed("key", key)
 
 
 def floor_sample(rows: DataFrame, group: str, score: str, id_col: str, *, floor: int, total: int) -> DataFrame:

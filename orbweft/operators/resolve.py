@@ -168,13 +168,21 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, local_types
     return edges.unionByName(brought).unionByName(config.distinct()).unionByName(handled).unionByName(tests), unresolved
 
 
-def scope_chain(symbols: DataFrame, limit: int = 8) -> DataFrame:
-    """inner, owner, depth, class_like: every scope around each scope, itself first."""
+def scope_chain(symbols: DataFrame) -> DataFrame:
+    """inner, owner, depth, class_like: every scope around each scope, itself first, however deep.
+
+    A scope that is its own ancestor, which no extractor makes, ends the chain after as many steps as there are symbols.
+    """
     s = symbols.select("id", "parent", F.col("kind").isin(*CLASS_KINDS).alias("class_like"))
+    up = s.select(F.col("id").alias("owner"), F.col("parent").alias("above"), F.col("class_like").alias("c"))
     out = front = s.select(F.col("id").alias("inner"), F.col("id").alias("owner"), F.lit(0).alias("depth"), "class_like", "parent")
-    for d in range(1, limit):
-        up = s.select(F.col("id").alias("owner"), F.col("parent").alias("above"), F.col("class_like").alias("c"))
-        front = front.where("parent IS NOT NULL").select("inner", F.col("parent").alias("owner")).join(up, "owner").select("inner", "owner", F.lit(d).alias("depth"), F.col("c").alias("class_like"), F.col("above").alias("parent"))
+    most, d = s.count(), 0
+    while d < most:
+        d += 1
+        above = front.where("parent IS NOT NULL").select("inner", F.col("parent").alias("owner")).join(up, "owner")
+        front = stored(above.select("inner", "owner", F.lit(d).alias("depth"), F.col("c").alias("class_like"), F.col("above").alias("parent")), "scopes")
+        if front.isEmpty():
+            break
         out = out.union(front)
     return out.drop("parent")
 

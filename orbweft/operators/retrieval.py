@@ -16,7 +16,7 @@ K1, B = 1.2, 0.75
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits in lower case."""
-    return F.expr("regexp_extract_all(lower(_t), '[\\\\p{L}\\\\p{N}]+', 0)") if text is None else F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def postings(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:

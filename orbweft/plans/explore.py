@@ -72,17 +72,21 @@ def pack(ranked: list[dict], budget: int) -> tuple[list[dict], int]:
     return out, len(ranked) - len(out)
 
 
-def hoist(order: list[str], parent: dict[str, str]) -> list[str]:
-    """The order with each parent right after its best member, where that member ranks no lower than it."""
-    place = {x: i for i, x in enumerate(order)}
-    out: list[str] = []
-    for x in order:
-        if x in out:
-            continue
-        best = min((m for m in order if parent.get(m) == x), key=place.__getitem__, default=None)
-        if best is not None and place[best] > place[x] and best not in out:
-            out.append(best)
-        out.append(x)
+def hoist(order: list[str], parent: dict[str, str], rank: dict[str, int]) -> list[str]:
+    """The order with the best-ranked member of each class right before it, where the search ranked that member no lower.
+
+    parent names the class of each member; rank is the place in the search's own ranking, of those that it found.
+    """
+    place = lambda x: rank.get(x, len(rank) + 1)
+    out, at = list(order), 0
+    while at < len(out):
+        liked = [m for m in out[at + 1 :] if parent.get(m) == out[at] and place(m) <= place(out[at])]
+        if liked:
+            best = min(liked, key=place)
+            out.remove(best)
+            out.insert(at, best)
+            at += 1
+        at += 1
     return out
 
 

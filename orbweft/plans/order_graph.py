@@ -83,3 +83,4 @@ TRADE_SQL = """trade AS (
   GROUP BY ALL)"""
 SPARSE_SQL = """sparse AS (
   SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM trade WHERE src <> dst) WHERE k <= 3)"""
+WHOLE_SQL = "whole AS (SELECT src, dst, weight FROM trade WHERE src <> dst)"

@@ -31,5 +31,9 @@ def test_pack_stays_within_the_hard_limit(sizes, budget):
 
 
 def test_hoist():
-    assert explore.hoist(["C", "x", "C.m"], {"C.m": "C"}) == ["C.m", "C", "x"]
-    assert explore.hoist(["a", "b"], {}) == ["a", "b"]
+    parent = {"C.m": "C", "C.k": "C"}
+    assert explore.hoist(["C", "x", "C.m"], parent, {"x": 0, "C.m": 1, "C": 2}) == ["C.m", "C", "x"]
+    assert explore.hoist(["C", "x", "C.m"], parent, {"C": 0, "x": 1, "C.m": 2}) == ["C", "x", "C.m"]
+    assert explore.hoist(["C", "C.k", "C.m"], parent, {"C.m": 0, "C.k": 1, "C": 2}) == ["C.m", "C", "C.k"]
+    assert explore.hoist(["C", "C.m"], parent, {}) == ["C.m", "C"]
+    assert explore.hoist(["a", "b"], {}, {"a": 0, "b": 1}) == ["a", "b"]

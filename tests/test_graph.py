@@ -50,11 +50,21 @@ def test_inherit_docs_takes_the_nearest(spark):
 
 
 def test_sessions_end_after_a_gap_or_the_cap(spark):
-    rows = [(1, i, float(t)) for i, t in enumerate([0, 1, 2, 3, 100, 101])]
-    e = frame(spark, rows, "user_id long, event_id long, t double")
-    got = relational.sessions(e, "user_id", e.t, gap_s=10, most_s=2)
-    assert sorted((r.start_s, r.n) for r in got.collect()) == [(0.0, 2), (2.0, 2), (100.0, 2)]
-
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(400)) for i in range(300)] + [("c", 900, None)]
+    e = spark.createDataFrame(rows, "user_id string, event_id long, s int").selectExpr("*", "timestamp_micros(s * 1000000L) AS ts")
+    got = relational.sessions(e, "user_id", "ts", "event_id", gap_us=3_000_000, most_us=9_000_000)
+    want = set()
+    for k in ("a", "b", None):
+        number, burst = 0, None
+        for t in sorted(s for u, _, s in rows if u == k):
+            if burst is None or t - burst[1] > 3 or t - burst[0] > 9:
+                want |= {(k, number, *burst)} if burst else set()
+                number, burst = number + 1, (t, t, 0)
+            burst = (burst[0], t, burst[2] + 1)
+        want.add((k, number, *burst))
+    assert {(r.user_id, r.session, r.start_us // 10**6, r.end_us // 10**6, r.n) for r in got.collect()} == want
+    assert relational.sessions(e.limit(0), "user_id", "ts", "event_id", gap_us=1, most_us=1).count() == 0
 
 def test_query_terms():
     assert query_terms("How does the parser handle imported modules?") == ["pars", "handle", "import", "modul"]
