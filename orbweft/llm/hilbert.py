@@ -1,28 +1,34 @@
 """Sharding in Hilbert-curve order.
 
 Several metadata dimensions are quantised, each row gets its index on the Hilbert curve through that grid, rows are
-sorted by the index and the order is cut into runs. Rows of a shard are then close in every dimension at once, so a
-reader with a filter on any of them skips most shards by their minima and maxima.
+sorted by the index and the order is cut into runs. Cells keep the order of their values and each holds about as many
+rows: a value's cell is its place among the dimension's quantiles, of which there are CUTS whatever the table's size.
+Rows of a shard are then close in every dimension at once, and a reader with a filter on any of them skips shards by
+their minima and maxima.
 
 Law of the query: ``rows`` (counts at most one apart). Ranks are exact and need no single task: a range partitioning
 sorts the rows, each partition's count is summed into an offset, and rank = offset + place in the partition.
 
-Defined results: null text has no bytes, so its size is 1; null metadata go to cell 0; rows with equal metadata follow
-by doc_id, null first; repeated rows each get a slot; an empty table gives an empty result.
+Defined results: null text has no bytes, so its size is 1; null metadata go to the first cell; rows with equal metadata
+follow by doc_id, null first; repeated rows each get a slot; an empty table gives an empty result; other columns are
+not read, but for write(), which keeps them.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from orbweft.session import stored, table
 
 #: Bits of each dimension; 4 dimensions of 10 bits make an index of 40 bits.
 BITS = 10
+#: Quantiles of a dimension, and the accuracy with which they are taken.
+CUTS, ACCURACY = 255, 10_000
 
 
 def curve_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -54,48 +60,49 @@ def curve_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def spread(value: Column) -> Column:
-    """A cell for a value without an order: the same for equal values, evenly over the grid."""
-    return F.coalesce(F.pmod(F.xxhash64(value), F.lit(1 << BITS)), F.lit(0))
+def text_key(value: Column) -> Column:
+    """A number that keeps the order of texts by their first seven bytes."""
+    raw = F.rpad(F.substring(F.encode(value, "UTF-8"), 1, 7), 7, F.lit(b"\0"))
+    return F.conv(F.hex(raw), 16, 10).cast("long")
 
 
-def scale(value: Column, low: float, high: float) -> Column:
-    """A cell for a number: its share of the way from low to high."""
-    top = (1 << BITS) - 1
-    return F.coalesce(F.least(F.greatest(F.floor((value - low) / (high - low) * top), F.lit(0)), F.lit(top)), F.lit(0))
+def quantiles(df: DataFrame, keys: list[Column]) -> list[np.ndarray]:
+    """Of each key CUTS quantiles, in order; common values take several."""
+    at = [(i + 0.5) / CUTS for i in range(CUTS)]
+    row = df.agg(*[F.percentile_approx(k, at, ACCURACY).alias(f"q{i}") for i, k in enumerate(keys)]).first()
+    return [np.array(q or [], np.int64) for q in row]
 
 
-def indexed(df: DataFrame, cells: list[Column], name: str = "curve") -> DataFrame:
-    """df with the Hilbert index of its cells; only the cells and df's own columns go to Python."""
-    fields, d = df.columns, len(cells)
-    ready = df.select("*", *[c.cast("long").alias(f"__cell{i}") for i, c in enumerate(cells)])
+def indexed(df: DataFrame, keys: list[Column], cuts: list[np.ndarray], name: str = "curve") -> DataFrame:
+    """df with the Hilbert index of its keys; only the keys go to Python."""
+    top = (1 << BITS) - 1
 
-    def run(batches):
-        for b in batches:
-            grid = np.stack([b.column(len(fields) + i).to_numpy() for i in range(d)], 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(fields)], pa.array(curve_index(grid))], [*fields, name])
+    @F.pandas_udf("long")
+    def curve(*columns: pd.Series) -> pd.Series:
+        place = lambda c, x: np.searchsorted(c, x) + np.searchsorted(c, x, "right")
+        cells = [place(c, x.to_numpy()) * top // max(1, 2 * len(c)) for c, x in zip(cuts, columns, strict=True)]
+        return pd.Series(curve_index(np.stack(cells, 1)))
 
-    schema = StructType([*df.schema.fields, StructField(name, LongType())])
-    return ready.mapInArrow(run, schema)
+    lowest = F.lit(-(1 << 63))
+    return df.withColumn(name, curve(*[F.coalesce(k.cast("long"), lowest) for k in keys]))
 
 
 def ranked(df: DataFrame, by: list[str], rank: str = "rank") -> tuple[DataFrame, int]:
     """df with each row's place in the order of by, from 0, and the number of rows.
 
-    The sorted partitions are written first, so that ranges, counts and ranks come from the same rows even if a task
-    runs again.
+    The sorted partitions are written first, each row with its place, so that counts and ranks come from the same rows
+    even if a task runs again.
     """
-    part = F.spark_partition_id()
-    cut = stored(df.repartitionByRange(*by).withColumn("__part", part), "ranked")
-    counts = {r[0]: r[1] for r in cut.groupBy("__part").count().collect()}  # one row a partition
+    cut = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted(map(tuple, cut.groupBy(part.alias("p")).count().collect()))  # one row a partition
     total, offsets = 0, []
-    for p in sorted(counts):
+    for p, n in counts:
         offsets.append((p, total))
-        total += counts[p]
+        total += n
     starts = df.sparkSession.createDataFrame(offsets, "__part int, __start long")
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*by)) - 1
-    out = cut.join(F.broadcast(starts), "__part").withColumn(rank, (F.col("__start") + place).cast("long"))
-    return out.drop("__part", "__start"), total
+    out = cut.withColumn("__part", part).join(F.broadcast(starts), "__part").withColumn(rank, F.col("__start") + place)
+    return out.drop("__part", "__start", "__at"), total
 
 
 def cut_rows(df: DataFrame, total: int, shards: int, rank: str = "rank") -> DataFrame:
@@ -106,36 +113,60 @@ def cut_rows(df: DataFrame, total: int, shards: int, rank: str = "rank") -> Data
     return df.withColumn("shard", shard.cast("int")).withColumn("slot", (r - start).cast("long"))
 
 
-def document_cells(docs: DataFrame) -> list[Column]:
-    size, id_ = F.col("size"), F.col("doc_id")
-    return [spread(F.col("lang")), spread(F.col("source")), scale(F.log2(size), 0.0, 24.0), spread(F.shiftright(id_, 6))]
+DIMENSIONS = ("lang", "source", "size", "doc_id")
+
+
+def _meta_columns() -> dict[str, Column]:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return {
+        "doc_id": F.col("doc_id").cast("long"),
+        "size": (F.octet_length(text) + 1).cast("long"),
+        "text_crc32": F.crc32(text.cast("binary")).cast("long"),
+        "lang": F.col("lang").cast("string"),
+        "source": F.col("source").cast("string"),
+    }
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """What is known of every document: doc_id, size, text_crc32, lang, source."""
+    return docs.select(*[c.alias(n) for n, c in _meta_columns().items()])
+
+
+def placed_rows(rows: DataFrame, meta: DataFrame, shards: int) -> DataFrame:
+    """rows, which have meta's columns, with curve, shard and slot."""
+    keys = [text_key(F.col("lang")), text_key(F.col("source")), F.col("size"), F.col("doc_id")]
+    placed, total = ranked(indexed(rows, keys, quantiles(meta, keys)), ["curve", "doc_id", "text_crc32"])
+    return cut_rows(placed, total, shards)
 
 
 def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document, with lang and source kept."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    meta = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        F.col("lang").cast("string").alias("lang"),
-        F.col("source").cast("string").alias("source"),
-    )
-    placed, total = ranked(indexed(meta, document_cells(meta)), ["curve", "doc_id", "text_crc32"])
-    return cut_rows(placed, total, shards)
+    meta = stored(described(docs), "meta")
+    return placed_rows(meta, meta, shards)
 
 
 def manifest(placed: DataFrame) -> DataFrame:
     """Per shard: rows, bytes and the extremes of each dimension, by which a reader prunes."""
-    ends = [f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size", "doc_id") for n, f in (("min", F.min), ("max", F.max))]
+    ends = [f(c).alias(f"{n}_{c}") for c in DIMENSIONS for n, f in (("min", F.min), ("max", F.max))]
     return placed.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *ends)
 
 
-def write(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Documents as one folder a shard, in curve order."""
-    where = placed.select(F.col("doc_id").alias("__id"), "shard", "slot")
-    joined = docs.join(where, docs.doc_id.eqNullSafe(where["__id"])).drop("__id")
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def wanted(about: DataFrame, **ranges: tuple) -> DataFrame:
+    """shard of those that may hold rows whose dimensions lie within the ranges, by a manifest; both ends count."""
+    test = [(F.col(f"max_{c}") >= low) & (F.col(f"min_{c}") <= high) for c, (low, high) in ranges.items()]
+    return about.where(functools.reduce(Column.__and__, test, F.lit(True))).select("shard")
+
+
+def write(docs: DataFrame, path: str, shards: int = 16) -> DataFrame:
+    """Documents with all their columns as one folder a shard, in curve order, and the manifest beside them."""
+    meta = stored(described(docs), "meta")
+    rows = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in _meta_columns().items()])
+    placed = placed_rows(rows, meta, shards)
+    about = stored(manifest(placed), "manifest")
+    about.coalesce(1).write.parquet(f"{path}/manifest")
+    out = placed.select("row.*", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    out.repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot").drop("__slot").write.partitionBy("__shard").parquet(f"{path}/shards")
+    return about
 
 
 def op6_hilbert_shards(spark, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orbweft.llm import hilbert, packing
+from orbweft.session import stored
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -46,9 +48,33 @@ def test_shard_edges_and_pruning(spark, tmp_path):
     assert sorted(map(len, counts.values())) == [8, 8, 8, 9, 9] and all(sorted(v) == list(range(len(v))) for v in counts.values())
     assert hilbert.sharded(df.limit(0), 5).count() == 0
     assert hilbert.manifest(placed).agg({"rows": "sum"}).first()[0] == 42
-    plain = df.drop("shard").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    hilbert.write(plain, hilbert.sharded(plain, 4), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+    about = hilbert.write(df, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out/shards"))
+    key = lambda r: str((r.doc_id, r.text, r.lang, r.source, r.curve, r.size, r.shard))
+    assert sorted(map(key, back.collect())) == sorted(map(key, df.collect())) and about.agg({"rows": "sum"}).first()[0] == 42
+    assert spark.read.parquet(str(tmp_path / "out/manifest")).count() == 4
+
+
+def test_shards_are_skipped_by_every_dimension(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    placed = stored(hilbert.sharded(docs), "placed")
+    about = stored(hilbert.manifest(placed), "about")
+    rows = placed.toPandas()
+    rare = rows.lang.value_counts().index[-1]
+    seen = {"lang": (rare, rare), "doc_id": (100, 110), "size": (1, 60), "source": (rows.source.min(), rows.source.min())}
+    for c, (low, high) in seen.items():
+        kept = {r.shard for r in hilbert.wanted(about, **{c: (low, high)}).collect()}
+        assert set(rows[(rows[c] >= low) & (rows[c] <= high)].shard) <= kept and len(kept) <= 12, (c, kept)
+    kept = {r.shard for r in hilbert.wanted(about, lang=("en", "en")).collect()}
+    assert kept == set(rows[rows.lang == "en"].shard) and len(kept) < 16
+    assert len({r.shard for r in hilbert.wanted(about, lang=(rare, rare), doc_id=(100, 110)).collect()}) <= 8
+
+
+def test_text_keys_keep_order(spark):
+    words = ["", "a", "aa", "b", "é", "zz", "zzzzzzzz", "漢"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", hilbert.text_key(F.col("w")).alias("k"))
+    got = {r.w: r.k for r in df.collect()}
+    assert sorted(words, key=str.encode) == sorted(words, key=got.get) and len(set(got.values())) == len(words)
 
 
 def check_packed(rows, texts, limits):
