@@ -2,11 +2,13 @@
 
 An archive compressed as a whole can only be read from its start. The normaliser inflates the stream once, chunk by
 chunk, rewrites every record as a gzip member of its own and writes a sidecar index of offsets, after which any record
-is one seek away. Archives are bounded in size, so each is a task's work and a lost task is done again.
+is one seek away. Records of any type pass as they are, byte for byte: their version, the order, spelling and repeats
+of their headers, and their block. Archives are bounded in size, so each is a task's work and a lost task is done again.
 
 Defined results: null html is the empty payload; rows of equal payload and equal smallest page_id are all responses;
 a null page_id is never smaller than another; urls are percent-encoded where a header could not carry them, null is
-empty; an empty table gives an empty result. A record cut off by the end of its archive raises ValueError.
+empty; an empty table gives an empty result. A record that is cut off by the end of its archive, does not begin with a
+version or has no length raises ValueError. Payloads are equal by SHA-256.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbweft.llm.dedup import sent
 from orbweft.llm.files import open_fs, publish
 from orbweft.session import folder, stored, table
 
@@ -34,12 +37,33 @@ DATE = "2020-01-01T00:00:00Z"
 
 @dataclass
 class Record:
-    headers: dict[str, str]
+    """head: the record's lines from its version on, without the blank line that ends them."""
+
+    head: bytes
     payload: bytes
 
+    @classmethod
+    def made(cls, headers: dict[str, str], payload: bytes, version: str = "WARC/1.1") -> Record:
+        lines = [version, *(f"{k}: {v}" for k, v in headers.items()), f"Content-Length: {len(payload)}"]
+        return cls("\r\n".join(lines).encode(), payload)
+
     def encode(self) -> bytes:
-        head = "".join(f"{k}: {v}\r\n" for k, v in self.headers.items())
-        return f"WARC/1.1\r\n{head}Content-Length: {len(self.payload)}\r\n\r\n".encode() + self.payload + b"\r\n\r\n"
+        return self.head + b"\r\n\r\n" + self.payload + b"\r\n\r\n"
+
+    @property
+    def version(self) -> str:
+        return self.head.split(b"\r\n", 1)[0].decode("latin-1")
+
+    @property
+    def headers(self) -> list[tuple[str, str]]:
+        """Names as they are spelled, and values; a line that begins with a space goes on with the one before."""
+        lines = re.sub(b"\r\n[ \t]+", b" ", self.head).split(b"\r\n")[1:]
+        pairs = [x.decode("utf-8", "surrogateescape").partition(":") for x in lines]
+        return [(k.strip(), v.strip()) for k, _, v in pairs]
+
+    def get(self, name: str) -> str | None:
+        """The first value of a header, whatever the case of its name."""
+        return next((v for k, v in self.headers if k.lower() == name.lower()), None)
 
 
 def page_record(page_id: int | None, url: str | None, html: bytes, digest: str, refers_to: int | None) -> Record:
@@ -52,9 +76,9 @@ def page_record(page_id: int | None, url: str | None, html: bytes, digest: str,
         "Content-Type": "text/html; charset=utf-8",
     }
     if refers_to is None:
-        return Record(headers, html)
+        return Record.made(headers, html)
     more = {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Payload-Length": str(len(html))}
-    return Record(headers | more, b"")
+    return Record.made(headers | more, b"")
 
 
 class Parser:
@@ -70,15 +94,20 @@ class Parser:
             end = self.buffer.find(b"\r\n\r\n", at)
             if end < 0:
                 break
-            lines = bytes(self.buffer[at:end]).decode().split("\r\n")
-            if not lines[0].startswith("WARC/"):
+            record = Record(bytes(self.buffer[at:end]), b"")
+            if not record.head.startswith(b"WARC/"):
                 raise ValueError("a record does not begin with its version")
-            headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-            size = int(headers.pop("Content-Length"))
-            if len(self.buffer) < end + 8 + size:
+            size = record.get("Content-Length")
+            if size is None or not size.isdecimal():
+                raise ValueError("a record has no length")
+            last = end + 4 + int(size)
+            if len(self.buffer) < last + 4:
                 break
-            yield Record(headers, bytes(self.buffer[end + 4 : end + 4 + size]))
-            at = end + 8 + size
+            if self.buffer[last : last + 4] != b"\r\n\r\n":
+                raise ValueError("a record does not end where its length says")
+            record.payload = bytes(self.buffer[end + 4 : last])
+            yield record
+            at = last + 4
         del self.buffer[:at]
 
     def end(self) -> None:
@@ -94,16 +123,24 @@ def gzip_whole(records: Iterable[Record], out) -> None:
 
 
 def inflate(source, step: int = STEP) -> Iterator[bytes]:
-    """The bytes of a gzip file, whatever its number of members."""
+    """The bytes of a gzip file, whatever its number of members, in pieces of at most step bytes."""
     machine = zlib.decompressobj(31)
+    begun = False
     while data := source.read(step):
         while data:
-            yield machine.decompress(data)
-            data = machine.unused_data
+            piece = machine.decompress(data, step)
+            begun = True
+            if piece:
+                yield piece
             if machine.eof:
-                machine = zlib.decompressobj(31)
+                data, machine, begun = machine.unused_data, zlib.decompressobj(31), False
             else:
-                break
+                data = machine.unconsumed_tail
+    if begun:
+        while piece := machine.decompress(machine.unconsumed_tail, step):
+            yield piece
+        if not machine.eof:
+            raise ValueError("the archive ends within its compressed stream")
 
 
 def records(source, step: int = STEP) -> Iterator[Record]:
@@ -113,6 +150,10 @@ def records(source, step: int = STEP) -> Iterator[Record]:
     parser.end()
 
 
+#: What the index tells of a record; null where it lacks the header.
+INDEXED = {"id": "WARC-Record-ID", "type": "WARC-Type", "uri": "WARC-Target-URI", "digest": "WARC-Payload-Digest"}
+
+
 def normalise(source, out) -> Iterator[dict]:
     """Rewrite every record of source as its own member of out; yields the lines of the index."""
     at = 0
@@ -120,7 +161,7 @@ def normalise(source, out) -> Iterator[dict]:
         squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
         member = squeeze.compress(r.encode()) + squeeze.flush()
         out.write(member)
-        yield {"id": r.headers["WARC-Record-ID"], "type": r.headers["WARC-Type"], "uri": r.headers["WARC-Target-URI"], "digest": r.headers["WARC-Payload-Digest"], "offset": at, "length": len(member)}
+        yield {**{k: r.get(n) for k, n in INDEXED.items()}, "offset": at, "length": len(member)}
         at += len(member)
 
 
@@ -135,9 +176,9 @@ def read_at(source, offset: int, length: int) -> Record:
 def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, refers_to: of equal payloads of at least min_bytes all but the smallest page_id refer to it."""
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha1("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.unhex(F.sha2("html", 256)))
     groups = rows.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    joined = rows.join(groups.where("n > 1").select("digest", "first"), "digest", "left")
+    joined = rows.join(sent(stored(groups.where("n > 1").select("digest", "first"), "copies")), "digest", "left")
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -198,7 +239,7 @@ ARROW = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in m
 
 
 def read_members(archives: DataFrame) -> DataFrame:
-    """A row for each record, read through the index."""
+    """A row for each record of archives of pages, read through the index."""
     number = re.compile(r"<urn:page:(-?\d+)>")
 
     def page(text: str | None) -> int | None:
@@ -214,12 +255,12 @@ def read_members(archives: DataFrame) -> DataFrame:
                 with fs.open_input_file(at) as source:
                     for x in lines:
                         r = read_at(source, x["offset"], x["length"])
-                        h = r.headers
-                        full = h["WARC-Type"] == "response"
-                        digest = base64.b32encode(hashlib.sha1(r.payload).digest()).decode() if full else h["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if h["WARC-Payload-Digest"] != f"sha1:{digest}":
-                            raise ValueError(f"the payload of {h['WARC-Record-ID']} differs from its digest")
-                        out.append({"page_id": page(h["WARC-Record-ID"]), "payload_bytes": len(r.payload) if full else int(h["WARC-Payload-Length"]), "payload_digest": digest, "record_type": h["WARC-Type"], "refers_to": page(h.get("WARC-Refers-To"))})
+                        h = {k.lower(): v for k, v in r.headers}
+                        full = h["warc-type"] == "response"
+                        digest = base64.b32encode(hashlib.sha1(r.payload).digest()).decode() if full else h["warc-payload-digest"].removeprefix("sha1:")
+                        if h["warc-payload-digest"] != f"sha1:{digest}":
+                            raise ValueError(f"the payload of {h['warc-record-id']} differs from its digest")
+                        out.append({"page_id": page(h["warc-record-id"]), "payload_bytes": len(r.payload) if full else int(h["warc-payload-length"]), "payload_digest": digest, "record_type": h["warc-type"], "refers_to": page(h.get("warc-refers-to"))})
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 

@@ -63,6 +63,33 @@ def test_normaliser_gives_each_record_a_member():
         list(W.records(io.BytesIO(gzip.compress(made[5].encode()[:-9]))))
 
 
+def test_records_of_other_makers_pass_as_they_are():
+    parts = [
+        b"WARC/1.0\r\nWARC-Type: warcinfo\r\nwarc-record-id: <urn:uuid:1>\r\ncontent-length: 4\r\n\r\nabcd\r\n\r\n",
+        b"WARC/1.1\r\nWARC-Type:request\r\nWARC-Concurrent-To: <urn:a>\r\nWARC-Concurrent-To: <urn:b>\r\nX-Long: one\r\n two\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Target-URI: http://x/\xff\xe9\r\nContent-Length: 8\r\n\r\n\r\n\r\nWARC\r\n\r\n",
+    ]
+    for source in (gzip.compress(b"".join(parts)), b"".join(map(gzip.compress, parts))):
+        out = io.BytesIO()
+        index = list(W.normalise(io.BytesIO(source), out))
+        assert [gzip.decompress(out.getvalue()[x["offset"] : x["offset"] + x["length"]]) for x in index] == parts
+        assert [x["type"] for x in index] == ["warcinfo", "request", "metadata"] and [x["id"] for x in index] == ["<urn:uuid:1>", None, None]
+    second = W.read_at(out, index[1]["offset"], index[1]["length"])
+    assert [v for k, v in second.headers if k == "WARC-Concurrent-To"] == ["<urn:a>", "<urn:b>"] and second.get("x-long") == "one two" and second.version == "WARC/1.1"
+    for bad in (b"HTTP/1.1 200\r\n\r\n", b"WARC/1.0\r\nA: b\r\n\r\n", parts[0].replace(b": 4", b": 3"), parts[0].replace(b": 4", b": x")):
+        with pytest.raises(ValueError):
+            list(W.records(io.BytesIO(gzip.compress(bad))))
+    with pytest.raises(ValueError):
+        list(W.records(io.BytesIO(gzip.compress(b"".join(parts))[:-20])))
+
+
+def test_inflated_pieces_are_bounded():
+    data = bytes(200 << 20)
+    sizes = [len(x) for x in W.inflate(io.BytesIO(gzip.compress(data, 1)), 1 << 20)]
+    assert max(sizes) <= 1 << 20 and sum(sizes) == len(data)
+    assert list(W.inflate(io.BytesIO(b""))) == []
+
+
 def test_pages(spark):
     rows = [(1, "http://a", "x"), (2, None, "x"), (3, "http://b\r\nEvil: 1", None), (4, "", ""), (5, "u", "é" * 50000), (0, "z", "x"), (0, "z", "x"), (None, "n", "x"), (None, "m", "only")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS digest", "2 AS first")
