@@ -9,6 +9,7 @@ import pytest
 
 from orbweft.llm import mpegts as M
 from orbweft.llm import warc as W
+from orbweft.session import stored
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 152, 153, 154, 160, 170, 334, 336, 338, 16384, 16385, 16525, 90000])
@@ -25,6 +26,8 @@ def test_damage_is_noticed():
     data = bytearray(M.mux(bytes(40000)))
     cut = M.demux(bytes(data[: 188 * 9] + data[188 * 10 :]))
     assert cut.jumps == 1 and [u[4] for u in cut.units].count(False) == 1
+    twice = M.demux(bytes(data[: 188 * 10] + data[188 * 9 :]))
+    assert twice.jumps == 0 and twice.payload == bytes(40000) and all(u[4] for u in twice.units)
     with pytest.raises(ValueError):
         M.demux(bytes(data[:-1]))
     broken = data[:]
@@ -33,17 +36,81 @@ def test_damage_is_noticed():
         M.demux(bytes(broken))
 
 
+def packet(pid, counter, body, start=False, field=None, load=True):
+    """One packet made by hand; field is the adaptation field after its length."""
+    field = None if field is None and len(body) == 184 else field or b""
+    if field is not None:
+        fill = 183 - len(field) - len(body)
+        field = bytes([len(field) + fill]) + (field or (b"\0" if fill else b"")) + b"\xff" * (fill - (not field and fill > 0))
+    return bytes([0x47, start << 6 | pid >> 8, pid & 255, (field is not None) << 5 | load << 4 | counter & 15]) + (field or b"") + body
+
+
+def section(table, ident, body):
+    head = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + ident.to_bytes(2, "big") + b"\xc1\0\0"
+    crc = 0xFFFFFFFF
+    for x in head + body:
+        for k in range(7, -1, -1):
+            crc = (crc << 1 ^ 0x04C11DB7 * ((crc >> 31) ^ (x >> k & 1))) & 0xFFFFFFFF
+    return head + body + crc.to_bytes(4, "big")
+
+
+def test_packets_of_another_maker():
+    pat = section(0, 1, b"\0\0\xe0\x10" + b"\0\2\xe0\x20" + b"\0\3\xe0\x21")
+    pmt = section(2, 2, b"\xe0\x50\xf0\x00" + b"\x06\xe0\x50\xf0\xb4" + bytes(180) + b"\x1b\xe0\x51\xf0\0")  # two packets
+    other = section(2, 3, b"\xe0\x60\xf0\0" + b"\x0f\xe0\x60\xf0\0")
+    full = lambda x: x.ljust(184, b"\xff")
+    pes = lambda body, size=True: b"\0\0\1\xbd" + ((len(body) + 8) if size else 0).to_bytes(2, "big") + b"\x80\x80\5" + b"\x21\0\1\x0e\x11" + body
+    one, two = pes(b"a" * 300), pes(b"b" * 50, False)
+    pm = b"\0" + pmt
+    data = [
+        packet(0x50, 3, b"x" * 184),  # before any start
+        packet(0, 7, full(b"\0" + pat), True),
+        packet(0x20, 0, pm[:184], True),
+        packet(0x21, 5, full(b"\0" + other), True),
+        packet(0x20, 1, full(pm[184:])),
+        packet(0x50, 4, one[:170], True, b"\x40"),
+        packet(0x50, 4, b"", field=b"\0" * 183, load=False),  # no payload: the counter stays
+        packet(0x60, 9, pes(b"c" * 20), True),
+        packet(0x50, 5, one[170:]),
+        packet(0x50, 5, one[170:]),  # sent twice
+        packet(0x50, 11, two, True, b"\x80"),  # an announced jump
+        packet(0x1FFF, 0, b"\xff" * 184),
+    ]
+    assert all(len(x) == 188 for x in data)
+    got = M.demux(b"".join(data))
+    assert got.programs == {0x20: {0x50: 6, 0x51: 0x1B}, 0x21: {0x60: 0x0F}} and got.jumps == 0
+    assert got.payload == b"a" * 300 + b"b" * 50 + b"c" * 20
+    assert [(u[0], u[1], u[3], u[4]) for u in got.units] == [(5, 300, True, True), (10, 50, False, True), (7, 20, False, True)]
+    assert got.units[0][2] == 0x708  # the stamp above
+
+
+def test_a_stream_is_entered_at_any_access_point():
+    raw = random.Random(3).randbytes(64 * 5000)
+    data = M.mux(raw)
+    whole = M.demux(data)
+    points = [k for k, u in enumerate(whole.units) if u[3]]
+    assert points == list(range(0, len(whole.units), M.GROUP)) and len(points) > 3
+    for k in points:
+        rest = M.demux(data[(whole.units[k][0] - 2) * 188 :])  # the tables stand before it
+        assert rest.payload == raw[k * M.UNIT :] and rest.jumps == 0 and [u[2] for u in rest.units] == [u[2] for u in whole.units[k:]]
+
+
 def test_media_column(spark):
-    rows = [(1, "text"), (2, None), (3, ""), (4, "é" * 100000), (5, "text"), (None, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS feature")
-    got = {r.doc_id: r for r in M.columns(df, keep_media=True).collect()}
+    rows = [(1, "text"), (2, None), (3, ""), (4, "é" * 100000), (5, "text"), (None, "x"), (5, "text"), (6, "long " * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS media", "2 AS feature", "3 AS n_bytes")
+    made = stored(M.streams(df), "media")
+    media = {r.doc_id: r.media for r in made.collect()}
+    all_rows = M.described(made).collect()
+    got = {r.doc_id: r for r in all_rows}
+    assert len(all_rows) == len(rows)
     for i, t in rows:
         raw = M.padded((t or "").encode())
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((t or "").encode()), len(raw), hashlib.sha256(raw).hexdigest())
-        assert r.tail_crc32 == zlib.crc32(raw[-64:]) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
+        assert r.tail_crc32 == zlib.crc32(raw[-64:]) and r.media_sha256 == hashlib.sha256(media[i]).hexdigest() and r.media_bytes == len(media[i])
+        assert sum(u.bytes for u in r.units) == len(raw) and [u.pts for u in r.units] == [k * M.TICKS for k in range(len(r.units))]
     assert got[1].media_sha256 == got[5].media_sha256 and got[1].feature == got[5].feature
-    assert M.columns(df.limit(0)).count() == 0
+    assert M.described(M.streams(df.limit(0))).count() == 0
 
 
 def test_normaliser_gives_each_record_a_member():
