@@ -6,7 +6,8 @@ scored in one pass over its bytes: each n-gram adds its weights, and no vector o
 
 Training takes a bounded sample, by a hash of doc_id, of those rows that may be learned from: PER_LANGUAGE texts of each
 language or, where languages are so many that this would exceed TOTAL texts, an equal share of TOTAL, one at least. Every
-language that has such a row is learned. Every other row is only predicted.
+language that has such a row is learned. Of rows with one doc_id and language the least text is taken. Every other row
+is only predicted; of languages, or families, that tie, the first by name wins.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; where nothing can be learned every
 text is ``und``; rows whose language is null are predicted but not learned from; a null doc_id is not held out and not
@@ -167,8 +168,8 @@ def sample(docs: DataFrame, allowed: Column, per_language: int = PER_LANGUAGE, t
     counts = rows.groupBy("lang").agg(F.count("*"), F.min(place)).collect()
     each = max(1, min(per_language, total // max(1, len(counts))))
     most = docs.sparkSession.createDataFrame([(lang, max(least, min(1.0, each / n))) for lang, n, least in counts], "lang string, most double")
-    chosen = rows.select("lang", "text", place.alias("place")).join(F.broadcast(most), "lang").where("place <= most")
-    return chosen.select("lang", "text").limit(2 * each * max(1, len(counts)))
+    chosen = rows.select("lang", "doc_id", "text", place.alias("place")).join(F.broadcast(most), "lang").where("place <= most")
+    return chosen.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def train(docs: DataFrame, allowed: Column) -> Model:

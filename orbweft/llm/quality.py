@@ -11,8 +11,9 @@ that may be learned from; votes are weighted back to the shares the labels have.
 
 Defined results: null and empty texts have no terms; they and texts without a positive neighbour get the share of
 label 1 among the labels; without any label to learn from the score is 0.5; a null doc_id is not held out and not
-learned from; labels of a doc_id that has several are those of its smallest; repeated rows are scored alike; an empty
-table gives an empty result; other columns are not read.
+learned from; a doc_id that has several labels or texts is learned with the least of each; of equally similar
+neighbours those of the least doc_ids vote; repeated rows are scored alike; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -88,6 +89,15 @@ def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest of each row; of equal ones at the end the first."""
+    pick = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, pick, 1).min(1, keepdims=True)
+    for i in np.flatnonzero((near >= least).sum(1) > k):
+        pick[i] = np.argsort(-near[i], kind="stable")[:k]
+    return pick
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -122,7 +132,7 @@ class Model:
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
         for i in range(0, len(q), BLOCK):
             near = q[i : i + BLOCK] @ self.vectors.T
-            pick = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            pick = nearest(near, k)
             alike = np.take_along_axis(near, pick, 1).astype(float)
             vote = np.where(alike > 0, alike, 0) ** 8 * self.weights[pick]
             total = vote.sum(1)
@@ -145,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
     shares = {int(r[0]): r[1] for r in known.groupBy("quality").count().collect()}
     picked = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((0, BAD), (1, GOOD))]
     ids = picked[0].union(picked[1]).select(F.col("doc_id").alias("__id"), "quality")  # BAD + GOOD rows at most
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("doc_id", "quality", "text").where("text IS NOT NULL").limit(2 * (BAD + GOOD))
+    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).where("text IS NOT NULL").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -153,8 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
                 yield pa.RecordBatch.from_pydict({"doc_id": [x.as_py()], "quality": [y.as_py()], "c": [z.astype(np.float32).tobytes()]}, schema=pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("c", pa.binary())]))
 
     got = rows.withColumn("quality", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, c binary").collect()
-    got.sort(key=lambda r: (r.doc_id, bytes(r.c)))
-    c = np.frombuffer(b"".join(r.c for r in got), np.float32).reshape(-1, TERMS)
+    got.sort(key=lambda r: r.doc_id)
+    c = np.empty((len(got), TERMS), np.float32)
+    for i, r in enumerate(got):
+        c[i] = np.frombuffer(r.c, np.float32)
     return Model.fit(c, np.array([r.quality for r in got], int), shares)
 
 

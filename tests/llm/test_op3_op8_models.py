@@ -4,6 +4,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbweft.llm import language, quality
 from orbweft.session import table
@@ -79,3 +80,41 @@ def test_counts_do_not_depend_on_the_batch(texts):
     for i, r in enumerate(raw):
         alone = quality.counts(np.frombuffer(r, np.uint8), np.array([0, len(r)]))
         assert (whole[i] == alone[0]).all(), texts[i]
+
+
+def test_votes_are_those_of_a_plain_search(spark):
+    """Each score once more, one document and one neighbour at a time; copies in the training set make ties."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    copies = docs.selectExpr("doc_id + 50000 AS doc_id", "text")
+    labels = table(spark, "/root/testdata/sf0.001", "labels").select("doc_id", "quality")
+    labels = labels.union(labels.selectExpr("doc_id + 50000", "1 - quality"))
+    docs = docs.union(copies)
+    model = quality.train(docs, labels, ~language.held_out(F.col("doc_id"), 4, 2))
+    rows = docs.collect()
+    got = {r.doc_id: r.score for r in quality.scored(docs, labels).collect()}
+    for r in rows[::7]:
+        raw = (r.text or "").encode()
+        c = quality.counts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        q = (quality.weighted(c, model.idf) @ model.axes)[0]
+        q /= max(float(np.linalg.norm(q)), 1e-12)
+        alike = sorted(((-float(q @ v), k) for k, v in enumerate(model.vectors)))
+        cut = alike[quality.NEIGHBOURS - 1][0]
+        top = [k for s, k in alike if s < cut - 1e-6]
+        tied = [k for s, k in alike if abs(s - cut) <= 1e-6]  # single precision may order these otherwise
+        best = sorted(top + tied[: quality.NEIGHBOURS - len(top)])
+        votes = [(max(0.0, float(q @ model.vectors[k])) ** 8 * model.weights[k], model.labels[k]) for k in best]
+        total = sum(v for v, _ in votes)
+        want = sum(v * y for v, y in votes) / total if total else model.prior
+        slack = sum(sorted((max(0.0, float(q @ model.vectors[k])) ** 8 * model.weights[k] for k in tied), reverse=True)[: len(tied) // 2 + 1]) / total if total and len(tied) > quality.NEIGHBOURS - len(top) else 0
+        assert abs(got[r.doc_id] - want) <= 1e-4 + slack
+
+
+def test_ties_go_to_the_first():
+    near = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [1.0, 1.0, 1.0, 1.0, 1.0], [0.1, 0.2, 0.3, 0.4, 0.5]], np.float32)
+    assert [sorted(x) for x in quality.nearest(near, 2).tolist()] == [[0, 1], [0, 1], [3, 4]]
+
+
+def test_rows_of_one_doc_id_are_learned_once(spark):
+    df = spark.createDataFrame([(1, f"text {i}", "en") for i in range(500)] + [(2, "andere", "de")], "doc_id long, text string, lang string")
+    got = language.sample(df, F.lit(True), 10, 20).collect()
+    assert sorted((r.lang, r.text) for r in got) == [("de", "andere"), ("en", "text 0")]
