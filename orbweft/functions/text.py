@@ -73,3 +73,39 @@ def generated_text(text: Column, path: Column) -> Column:
 
 def test_path(path: Column) -> Column:
     return path.rlike(r"(^|/)(tests?|__tests__|specs?|testing)/|(^|/)test_[^/]*$|[._-](test|spec)\.[^/]+$|_test\.[^/]+$|(^|/)conftest\.py$")
+
+
+#: Folders and names of code that is not what a repository is about; (?i) as letters' case does not count.
+ASIDE = r"(?i)(^|/)([^/]*(demos?|fixtures?)[^/]*|docs?|benchmarks?|bench|vendor|third_party|extras?|support|metrics|proto|website|www|migrations?)/|(^|/)db/migrate/|\.migration\.[^/]+$"
+RUNNERS = r"(^|/)[Rr]unner/"
+PLATFORMS = r"(?i)^(android|ios|macos|linux|windows|web)/"
+
+
+def peripheral(path: Column, platform_root: bool = False) -> Column:
+    """Whether a path is aside of the code a repository is about: docs, demos, vendored code, migrations, runners; with
+    platform_root also the folders of platforms. A folder of examples is, unless a package is named so: after a domain's
+    first part, or under a JVM source root."""
+    package = r"(?i)((?:^|/)src/[^/]+/(?:java|kotlin|scala)/|(?:^|/)(?:com|org|net|io|dev|app|me)/)[^/]*(?:examples?|samples?)[^/]*/"
+    shown = F.regexp_replace(path, package, "$1_/")
+    found = path.rlike(ASIDE) | path.rlike(RUNNERS) | shown.rlike(r"(?i)(^|/)[^/]*(examples?|samples?)[^/]*/")
+    return found | path.rlike(PLATFORMS) if platform_root else found
+
+
+def fmt_symbol(kind: Column, fqn: Column, file: Column, start: Column, end: Column, signature: Column) -> Column:
+    """One line that names a symbol: kind, fqn, place and signature if that says more."""
+    more = F.when((F.length(signature) > 0) & (signature != fqn), F.concat(F.lit("  "), one_line(signature))).otherwise(F.lit(""))
+    return F.concat(kind, F.lit(" "), fqn, F.lit(" ("), file, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"), F.lit(")"), more)
+
+
+def symbol_text(kind: Column, name: Column, fqn: Column, file: Column, signature: Column, doc: Column, parent_fqn: Column) -> Column:
+    """What is embedded for a symbol: kind and name, its words, signature, doc, parent and the end of its path; a module's
+    name, the words of its path, doc and path. Signatures have 240 characters of it at most, docs 300."""
+    flat = lambda c, n: F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, n)
+    said = F.when(F.length(doc) > 0, flat(doc, 300))
+    words = lambda c: F.when((split_identifier(c) != "") & (split_identifier(c) != F.lower(name)), split_identifier(c))
+    tail = F.array_join(F.slice(F.split(file, "/"), F.greatest(F.size(F.split(file, "/")) - 2, F.lit(1)), 3), "/")
+    shape = F.when((F.length(signature) > 0) & (signature != fqn) & (signature != name), flat(signature, 240))
+    inside = F.when(parent_fqn != file, F.concat(F.lit("in "), parent_fqn))
+    module = F.concat_ws(". ", F.concat(F.lit("module "), name), words(F.regexp_replace(file, r"\.[^.]+$", "")), said, file)
+    other = F.concat_ws(". ", F.concat(F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(" "), name), words(name), shape, said, inside, tail)
+    return F.when(kind == "module", module).otherwise(other)

@@ -184,6 +184,98 @@ def shortest(edges: DataFrame, source: str, *, hops: int = 12) -> DataFrame:
     return best
 
 
+#: What a step of a route costs by kind, beside 1; entering a node costs more the more nodes lead to it.
+STEP = {"contains": 1.5, "imports": 2.5, "references": 1.2}
+STRUCTURAL = ("contains", "calls", "extends", "implements")
+
+
+def route(nodes: DataFrame, edges: DataFrame, start: str, end: str, *, directed: bool = False, hops: int = 12) -> list[dict] | None:
+    """The cheapest way between two nodes as steps (id, kind, reversed), the first without a kind; None if there is none.
+
+    Edges of structure are tried first, without modules on the way; then all edges; then tests and sections too. A node
+    is entered at 1 + .6 log2(1 + its fan-in) times the step's cost, so a way through what everything uses is dear; the
+    end costs nothing extra. Relaxation goes in whole rounds, and the way is read back from at most hops rows.
+    """
+    if nodes.where(F.col("id").isin(start, end)).select("id").distinct().count() < len({start, end}):
+        return None
+    if start == end:
+        return [{"id": start, "kind": None, "reversed": False}]
+    known = nodes.select("id", "kind", "is_test")
+    into = edges.where("kind <> 'contains'").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    enter = stored(known.join(into, "id", "left").select("id", (F.col("kind") == "module").alias("module"), (F.col("is_test") | F.col("kind").isin("test", "section")).alias("test"), (1 + 0.6 * F.log2(1 + F.coalesce("n", F.lit(0)))).alias("enter")), "enter")
+    for structural, tests in ((True, False), (False, False), (True, True), (False, True)):
+        found = _route(edges, enter, start, end, directed, hops, structural, tests)
+        if found:
+            return found
+    return None
+
+
+def _route(edges: DataFrame, enter: DataFrame, start: str, end: str, directed: bool, hops: int, structural: bool, tests: bool) -> list[dict] | None:
+    own = edges.where(F.col("kind").isin(*STRUCTURAL)) if structural else edges
+    ways = own.select("src", "dst", "kind", F.lit(False).alias("reversed"))
+    if not directed:
+        ways = ways.union(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", F.lit(True)))
+    ends = F.col("id").isin(start, end)
+    open_ = F.lit(True) if tests else ~F.col("test")
+    open_ = open_ & ~F.col("module") if structural else open_
+    to = enter.where(ends | open_).select(F.col("id").alias("dst"), F.col("module").alias("m1"), F.when(F.col("id") == end, 1.0).otherwise(F.col("enter")).alias("enter"))
+    of = enter.select(F.col("id").alias("src"), F.col("module").alias("m0"))
+    base = F.when((F.col("kind") == "contains") & (F.col("m0") | F.col("m1")), 5.0).otherwise(by_kind(F.col("kind"), STEP, 1.0))
+    step = ways.where("src <> dst").join(to, "dst").join(of, "src").select("src", "dst", F.struct((base * F.col("enter")).alias("cost"), "kind", "reversed").alias("s"))
+    step = stored(step.groupBy("src", "dst").agg(F.min("s").alias("s")).select("src", "dst", "s.*"), "route")
+    best = edges.sparkSession.createDataFrame([(start, 0.0, 0, None, None, False)], "id string, cost double, hops int, before string, kind string, reversed boolean")
+    for d in range(1, hops + 1):
+        front = best.where(F.col("hops") == d - 1).select(F.col("id").alias("src"), F.col("cost").alias("so_far"))
+        moved = step.join(front, "src").select(F.col("dst").alias("id"), F.round(F.col("so_far") + F.col("cost"), 9).alias("cost"), F.lit(d).alias("hops"), F.col("src").alias("before"), "kind", "reversed")
+        best = stored(best.union(moved).groupBy("id").agg(F.min(F.struct("cost", "hops", "before", "kind", "reversed")).alias("m")).select("id", "m.*"), "routes")
+        if best.where(F.col("hops") == d).isEmpty():
+            break
+    out, at = [], end
+    while at is not None:
+        row = best.where(F.col("id") == at).first()
+        if row is None:
+            return None
+        out.append({"id": at, "kind": row.kind, "reversed": row.reversed})
+        at = row.before
+    return out[::-1]
+
+
+def callers_transitive(edges: DataFrame, roots: list[str], *, depth: int = 2, kinds: tuple[str, ...] = ("calls", "references", "passes", "decorates", "defines_route")) -> DataFrame:
+    """src, dst, kind, line, depth: sites that refer to the roots, to the callers found so, and on; a node's sites are
+    listed at the depth at which it is first met."""
+    own = edges.where(F.col("kind").isin(list(kinds)) & (F.col("src") != F.col("dst"))).select("src", "dst", "kind", "line")
+    seen = front = edges.sparkSession.createDataFrame([(r,) for r in roots], "id string")
+    out = None
+    for d in range(1, depth + 1):
+        sites = stored(own.join(front.select(F.col("id").alias("dst")), "dst", "left_semi").withColumn("depth", F.lit(d)), "sites")
+        out = sites if out is None else out.union(sites)
+        front = stored(sites.select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"), "front")
+        seen = seen.union(front)
+    return out
+
+
+def tests_for(edges: DataFrame, ids: list[str]) -> DataFrame:
+    """id, test: the tests of each of the ids."""
+    return edges.where((F.col("kind") == "tests") & F.col("dst").isin(ids)).select(F.col("dst").alias("id"), F.col("src").alias("test")).distinct()
+
+
+def descendants(pairs: DataFrame, *, limit: int = 6) -> DataFrame:
+    """ancestor, child, depth: the closure of (child, parent) seen from above."""
+    return closure(pairs, limit=limit).select("ancestor", "child", "depth")
+
+
+def community_report(members: DataFrame, *, top: int = 5, dirs: int = 3) -> DataFrame:
+    """community, size, top_symbols, dirs, peripheral of communities whose members have community, id, rank, dir and aside:
+    the best ranked, the commonest folders, and whether more than half are aside of the main code."""
+    place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("rank"), "id"))
+    best = members.withColumn("k", place).where(F.col("k") <= top).groupBy("community").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("top_symbols"))
+    counts = members.groupBy("community", "dir").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("n"), "dir"))
+    common = counts.withColumn("k", place).where(F.col("k") <= dirs).groupBy("community").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "dir"))), lambda x: x["dir"]).alias("dirs"))
+    sizes = members.groupBy("community").agg(F.count("*").alias("size"), (F.avg(F.col("aside").cast("int")) > 0.5).alias("peripheral"))
+    return sizes.join(best, "community").join(common, "community").select("community", "size", "top_symbols", "dirs", "peripheral")
+
+
 def inherit_docs(members: DataFrame, supers: DataFrame, *, limit: int = 6) -> DataFrame:
     """id, doc, doc_from of undocumented members (id, parent, name, doc, ordinal): the nearest ancestor's member of that
     name with a doc of its own, at the same place among overloads or the last there."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that say nothing in a question.
-STOP = frozenset("a an the of to in on for and or is are was were be been being do does did how what where when which who whom why can could should would will shall may might must this that these those it its with without from by as at into about over under between through during before after".split())
+STOP = frozenset("a an the of to in on for and or is are was were be been being do does did how what where when which who whom why can could should would will shall may might must this that these those it its with without from by as at into about over under between through during before after above below up down out off again further then once here there all any both each few more most other some such no nor not only own same so than too very s t just now i me my we our you your he she they them their code function class method file module implement implemented implementation work works working use uses used using does define defined definition handle handles handled get set find show me tell explain describe list".split())
 #: Suffixes taken off a query term, the first that matches and leaves four letters.
 SUFFIXES = ("ings", "ing", "ed", "ers", "er", "es", "s", "ly", "tion")
 K1, B = 1.2, 0.75
@@ -55,19 +55,16 @@ def bm25(docs: DataFrame, id_col: str, fields: dict[str, float], phrases: list[t
 
 
 def query_terms(question: str) -> list[str]:
-    """Words of a question without stop words, their suffix taken off."""
-    out = []
-    for w in re.findall(r"[A-Za-z_$][\w$.]*|\d+", question):
-        w = w.lower().strip(".")
-        if w in STOP or len(w) < 2:
-            continue
-        for s in SUFFIXES:
-            if w.endswith(s) and len(w) - len(s) >= 4:
-                w = w[: -len(s)]
-                break
-        if w not in out:
-            out.append(w)
-    return out
+    """Words of a question, identifiers split, without stop words; then the stems of those that have a known suffix."""
+    text = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", re.sub(r"[^\w$.\-\s]", " ", question))
+    text = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", text)
+    words = [w for w in re.sub(r"[_$.\-]+", " ", text).lower().split() if len(w) >= 2 and w not in STOP]
+    out = dict.fromkeys(words)
+    for w in words:
+        suffix = next((s for s in SUFFIXES if w.endswith(s) and len(w) - len(s) >= 4), None)
+        if suffix:
+            out.setdefault(w[: -len(suffix)])
+    return list(out)
 
 
 def phrases(terms: list[str]) -> list[tuple[str, bool]]:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orbweft.functions import text as fn
-from orbweft.operators import graph, relational, retrieval
+from orbweft.operators import graph, relational, retrieval, search
 from orbweft.plans import order_graph as og
 from orbweft.plans.registry import ORACLES, QUERIES
 from orbweft.session import stored, table
@@ -592,6 +592,71 @@ def conversation_threads(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", (F.row_number().over(w) - 1).cast("long").alias("ordinal"), F.lag("turn").over(w).alias("parent"), F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("last_user"))
 
 
+@query(f"""WITH {og.EDGES_SQL}, e AS (SELECT src, dst, kind, line FROM edges WHERE kind IN ('calls', 'references') AND src <> dst), d1 AS (SELECT *, 1 AS depth FROM e WHERE dst = 'part:1'),
+f AS (SELECT DISTINCT src FROM d1 WHERE src <> 'part:1') SELECT * FROM d1 UNION ALL SELECT e.*, 2 FROM e JOIN f ON e.dst = f.src""")
+def callers_transitive(spark, sf):
+    """Sites that call a part, and those that refer to the callers."""
+    return graph.callers_transitive(og.order_edges(spark, sf), ["part:1"], depth=2)
+
+
+@query("""WITH RECURSIVE u AS (SELECT 'nation:' || n_nationkey AS child, 'region:' || n_regionkey AS ancestor FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer),
+c AS (SELECT ancestor, child, 1 AS depth FROM u UNION ALL SELECT c.ancestor, u.child, c.depth + 1 FROM c JOIN u ON u.ancestor = c.child) SELECT ancestor, child, depth FROM c""")
+def descendant_closure(spark, sf):
+    """Everything below each region and nation."""
+    n = table(spark, sf, "nation").select(og.ident("nation", F.col("n_nationkey")).alias("child"), og.ident("region", F.col("n_regionkey")).alias("parent"))
+    c = table(spark, sf, "customer").select(og.ident("customer", F.col("c_custkey")), og.ident("nation", F.col("c_nationkey")))
+    return graph.descendants(n.union(c))
+
+
+@query("""WITH m AS (SELECT c_nationkey AS community, c_custkey AS id, c_acctbal AS rank, c_mktsegment AS dir, c_acctbal < 3000 AS aside FROM customer),
+t AS (SELECT community, string_agg(id, ',' ORDER BY k) AS top FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY rank DESC, id) AS k FROM m) WHERE k <= 5 GROUP BY 1),
+d AS (SELECT community, string_agg(dir, ',' ORDER BY n DESC, dir) AS dirs FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, dir) AS k FROM (SELECT community, dir, count(*) AS n FROM m GROUP BY 1, 2)) WHERE k <= 3 GROUP BY 1)
+SELECT community, count(*) AS size, any_value(top) AS top_symbols, any_value(dirs) AS dirs, avg(CAST(aside AS INT)) > 0.5 AS peripheral FROM m JOIN t USING (community) JOIN d USING (community) GROUP BY 1""")
+def community_report(spark, sf):
+    """Size, leading customers, segments and share of small accounts of each nation."""
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("community"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("rank"), F.col("c_mktsegment").alias("dir"), (F.col("c_acctbal") < 3000).alias("aside"))
+    r = graph.community_report(c)
+    return r.withColumn("top_symbols", F.array_join(F.col("top_symbols").cast("array<string>"), ",")).withColumn("dirs", F.array_join("dirs", ","))
+
+
+@query("SELECT o_orderpriority AS kind, count(*) AS n, round(avg(CAST(o_orderstatus = 'F' AS INT)), 6) AS fraction FROM orders GROUP BY 1")
+def fraction_by_kind(spark, sf):
+    """Share of finished orders by priority."""
+    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"), r6(F.avg((F.col("o_orderstatus") == "F").cast("int"))).alias("fraction"))
+
+
+@query(r"""WITH s AS (SELECT p_partkey AS id, p_name AS name, p_brand || '.' || p_name AS fqn, 'lib/' || p_brand || '/' || p_type AS file, p_type AS signature,
+  trim(lower(regexp_replace(p_name, '[^A-Za-z0-9]+', ' ', 'g'))) AS words FROM part)
+SELECT id, concat_ws('. ', 'function ' || name, CASE WHEN words <> lower(name) THEN words END, CASE WHEN signature <> name THEN substr(trim(regexp_replace(signature, '\s+', ' ', 'g')), 1, 240) END, 'in Shop', array_to_string(string_split(file, '/')[-3:], '/')) AS text FROM s""")
+def symbol_text(spark, sf):
+    """Parts as symbols: what would be embedded of each."""
+    p = table(spark, sf, "part")
+    file = F.concat(F.lit("lib/"), "p_brand", F.lit("/"), "p_type")
+    return p.select(F.col("p_partkey").alias("id"), fn.symbol_text(F.lit("function"), F.col("p_name"), F.concat("p_brand", F.lit("."), "p_name"), file, F.col("p_type"), F.lit(""), F.lit("Shop")).alias("text"))
+
+
+def part_symbols(spark, sf):
+    """Parts as symbols to search, and their calls as metrics."""
+    p = table(spark, sf, "part")
+    s = p.select(og.ident("part", F.col("p_partkey")).alias("id"), F.when(F.col("p_size") % 3 == 0, "class").otherwise("function").alias("kind"), F.translate("p_name", " ", "_").alias("name"), F.concat_ws(".", "p_brand", F.translate("p_name", " ", "_")).alias("fqn"), F.col("p_type").alias("signature"), F.when(F.col("p_size") > 25, F.concat(F.lit("the "), "p_name")).otherwise("").alias("doc"), F.concat(F.when(F.col("p_size") % 5 == 0, "docs/").otherwise("src/"), "p_brand", F.lit("/x.py")).alias("file"), (F.col("p_size") % 7 == 0).alias("is_test"), (F.col("p_size") % 2 == 0).alias("exported"), F.lit(False).alias("reopened"), F.lit(False).alias("inherited"), F.lit(None).cast("string").alias("parent"))
+    calls = table(spark, sf, "lineitem").groupBy(og.ident("part", F.col("l_partkey")).alias("id")).agg(F.count("*").alias("callers"), F.sum("l_quantity").alias("pagerank"))
+    return s, calls
+
+
+@query()
+def symbol_search(spark, sf):
+    """The twenty parts that a question in words finds best."""
+    return search.search(*part_symbols(spark, sf), "how are the small rings packed", limit=20).select("id", r6(F.col("score")).alias("score"))
+
+
+@query(r"""WITH s AS (SELECT 'part:' || p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 1.3 ELSE 1.15 END * 3 + CASE WHEN p_size % 7 = 0 THEN -100 ELSE 0 END + CASE WHEN p_size % 2 = 0 THEN 5 ELSE 0 END - CASE WHEN p_size % 5 = 0 THEN 3 ELSE 0 END AS points,
+  CASE WHEN p_size % 5 = 0 THEN 'docs/' ELSE 'src/' END || p_brand || '/x.py' AS file, coalesce((SELECT sum(l_quantity) FROM lineitem WHERE l_partkey = p_partkey), 0) AS pr FROM part WHERE replace(p_name, ' ', '_') = 'small_ring')
+SELECT id, CAST(row_number() OVER (ORDER BY points DESC, pr DESC, file, id) AS INT) AS place FROM s ORDER BY points DESC, pr DESC, file, id LIMIT 8""")
+def find_symbol(spark, sf):
+    """The eight parts most likely meant by a name that many have."""
+    return search.find_symbols(*part_symbols(spark, sf), "small_ring")
+
+
 # Source code: the engine's own, which every installation has
 
 

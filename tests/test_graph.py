@@ -67,5 +67,6 @@ def test_sessions_end_after_a_gap_or_the_cap(spark):
     assert relational.sessions(e.limit(0), "user_id", "ts", "event_id", gap_us=1, most_us=1).count() == 0
 
 def test_query_terms():
-    assert query_terms("How does the parser handle imported modules?") == ["pars", "handle", "import", "modul"]
+    assert query_terms("How does the parser handle imported modules?") == ["parser", "imported", "modules", "pars", "import", "modul"]
+    assert query_terms("getUserName parse-tree v2") == ["user", "name", "parse", "tree", "v2"]
     assert phrases(["ab", "abc"]) == [("ab", False), ("abc", False), ("abc", True)]
