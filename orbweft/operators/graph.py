@@ -7,6 +7,7 @@ lineage stays short and survives lost executors.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +46,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, *, rounds: int = 40, damping: float = 0.85, tolerance: float | None = 1e-9, cut: int = 5, restart: DataFrame | None = None) -> DataFrame:
     """id, rank of every node; edges have src, dst, weight. With restart (id, share) the walk restarts there.
 
-    The mass of nodes without out-edges is spread as the restart is. Edges are shuffled once, by source, and merged per
-    pair of nodes; each round joins them with the ranks and adds up by target before the shuffle.
+    The mass of nodes without out-edges is spread as the restart is. Edges are merged per pair of nodes, dealt by source
+    once and kept so on the executors' disks, to be dealt anew from the written table where an executor is lost; each
+    round takes the ranks to them and adds up by target before the shuffle.
     """
     n = nodes.count()
     if not n:
@@ -54,6 +56,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, rounds: int = 40, damping: f
     merged = stored(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")), "merged")
     total = merged.groupBy("src").agg(F.sum("w").alias("t"))
     flow = stored(merged.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "flow")
+    dealt = flow.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "src").persist(StorageLevel.DISK_ONLY)
     base = nodes.select("id").join(total.select(F.col("src").alias("id"), F.lit(True).alias("out")), "id", "left")
     if restart is None:
         base = base.withColumn("share", F.lit(1.0 / n))
@@ -63,7 +66,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, rounds: int = 40, damping: f
     ranks = base.select("id", "out", "share", F.col("share").alias("rank"))
     for k in range(1, rounds + 1):
         dangling = ranks.where("NOT out").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d"))
-        moved = flow.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("m")).withColumnRenamed("dst", "id")
+        moved = dealt.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("p")).alias("m")).withColumnRenamed("dst", "id")
         after = ranks.join(moved, "id", "left").crossJoin(F.broadcast(dangling)).select("id", "out", "share", ((1 - damping) * F.col("share") + damping * (F.coalesce("m", F.lit(0.0)) + F.col("d") * F.col("share"))).alias("rank"), F.col("rank").alias("before"))
         after = stored(after, "ranks")  # a round reads the ranks thrice, so unwritten rounds would multiply
         if k % cut == 0:
@@ -71,6 +74,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, rounds: int = 40, damping: f
                 ranks = after.drop("before")
                 break
         ranks = after.drop("before")
+    dealt.unpersist()
     return ranks.select("id", "rank")
 
 
@@ -94,7 +98,7 @@ def candidate_callers(unresolved: DataFrame, edges: DataFrame, targets: DataFram
 def impact(edges: DataFrame, roots: DataFrame, *, depth: int = 3, kinds: tuple[str, ...] = IMPACT_KINDS) -> DataFrame:
     """id, depth, score of what depends on the roots (id, score): reverse steps, each node at its least depth with its
     best score there; a step multiplies by the edge's weight, and by .6 beyond the first."""
-    back = edges.where(F.col("kind").isin(list(kinds))).groupBy("dst", "src").agg(F.max("weight").alias("weight"))
+    back = stored(edges.where(F.col("kind").isin(list(kinds))).groupBy("dst", "src").agg(F.max("weight").alias("weight")), "back")
     seen = roots.select("id", F.lit(0).alias("depth"), "score")
     front = seen
     for d in range(1, depth + 1):

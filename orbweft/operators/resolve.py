@@ -14,13 +14,17 @@ from orbweft.session import stored
 
 CLASS_KINDS = ("class", "interface", "struct", "enum", "trait", "type_alias")
 CALLABLE_KINDS = ("function", "method", "constructor", "macro", "test")
-PASSABLE_KINDS = ("function", "method")
+PASSABLE_KINDS = ("function", "method", "constructor")
 CANDIDATES, SHORT = 8, 4
-#: Member names too common to bind by name alone.
+#: Member names too common to bind by name alone; a list of our own.
 COMMON = ("get", "set", "add", "run", "name", "type", "value", "data", "close", "open", "read", "write", "init", "main", "test", "update", "remove", "delete", "next", "keys", "values", "items", "push", "pop", "map", "filter", "find", "size", "length", "toString", "equals")
-#: Names that the languages bring with them.
+#: Names that two of the languages bring with them; a list of our own.
 BUILTINS = {"python": ("print", "len", "range", "str", "int", "dict", "list", "set", "tuple", "isinstance", "super", "open", "sorted", "enumerate", "zip", "map", "filter", "min", "max", "sum", "any", "all", "getattr", "setattr", "hasattr", "type", "repr", "bool", "float", "bytes", "Exception", "ValueError", "TypeError", "KeyError"), "javascript": ("console", "Promise", "Object", "Array", "String", "Number", "JSON", "Math", "Map", "Set", "Date", "Error", "require", "parseInt", "setTimeout")}
-SELF = ("self", "this", "super", "cls", "@", "Self")
+SELF = ("self", "this", "super", "cls", "@", "Self", "parent", "static")
+#: Languages in which a bare name within a class means its members before the file's own.
+IMPLICIT = ("java", "kotlin", "scala", "csharp", "swift", "ruby", "cpp", "dart", "objc", "groovy", "powershell")
+#: Files that a name is followed through where one exports what it has from another.
+CHAIN = 6
 
 
 def family(language: Column) -> Column:
@@ -75,18 +79,43 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def bindings(imports: DataFrame, symbols: DataFrame) -> DataFrame:
-    """file, name, target of what imports bring into a file: named symbols, wildcards and submodules; re-exports are
-    followed once for each round of the caller."""
+    """file, name, target of what imports bring into a file: named symbols, wildcards and submodules.
+
+    What a file has from another it exports in turn, where it defines no such name itself; chains end after CHAIN files.
+    """
     top = symbols.where("parent = file AND kind <> 'module'").select(F.col("file").alias("resolved"), F.col("name").alias("member"), F.col("id").alias("target"))
-    named = imports.where("resolved IS NOT NULL").select("file", "resolved", F.explode("names").alias("n")).select("file", "resolved", F.col("n.name").alias("member"), F.when(F.col("n.alias") != "", F.col("n.alias")).otherwise(F.col("n.name")).alias("name"))
-    one = named.where("member <> '*'").join(top, ["resolved", "member"]).select("file", "name", "target")
-    star = named.where("member = '*'").select("file", "resolved").join(top, "resolved").select("file", F.col("member").alias("name"), "target")
-    whole = imports.where("resolved IS NOT NULL AND alias <> ''").select("file", F.col("alias").alias("name"), F.col("resolved").alias("target"))
-    return one.union(star).union(whole).distinct()
+    known = imports.where("resolved IS NOT NULL")
+    named = known.select("file", "resolved", F.explode("names").alias("n")).select("file", "resolved", F.col("n.name").alias("member"), F.when(F.col("n.alias") != "", F.col("n.alias")).otherwise(F.col("n.name")).alias("name"))
+    offered, before, found = top, -1, None
+    for _ in range(CHAIN):
+        one = named.where("member <> '*'").join(offered, ["resolved", "member"]).select("file", "name", "target")
+        star = named.where("member = '*'").select("file", "resolved").join(offered, "resolved").select("file", F.col("member").alias("name"), "target")
+        found = stored(one.union(star).distinct(), "bound")
+        now = found.count()
+        if now == before:
+            break
+        before = now
+        passed = found.select(F.col("file").alias("resolved"), F.col("name").alias("member"), "target")
+        offered = top.union(passed.join(top.select("resolved", "member"), ["resolved", "member"], "left_anti"))
+    whole = known.where("alias <> ''").select("file", F.col("alias").alias("name"), F.col("resolved").alias("target"))
+    return found.union(whole).distinct()
+
+
+def external(imports: DataFrame) -> DataFrame:
+    """file, name of what imports bring in from outside the repository."""
+    out = imports.where("resolved IS NULL")
+    named = out.select("file", F.explode("names").alias("n")).select("file", F.when(F.col("n.alias") != "", F.col("n.alias")).otherwise(F.col("n.name")).alias("name"))
+    return named.union(out.where("alias <> ''").select("file", F.col("alias").alias("name"))).where("name <> '*'").distinct()
 
 
 def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, local_types: DataFrame, supers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(edges, unresolved). imports carry resolved. Edges: src, dst, kind, file, line, resolver, confidence."""
+    """(edges, unresolved). imports carry resolved. Edges: src, dst, kind, file, line, resolver, confidence.
+
+    supers are the extends and implements edges; where they are not given they are resolved first, by the same tiers.
+    """
+    if supers is None:
+        own = refs.where("kind IN ('extends', 'implements')")
+        supers, _ = resolve(own, symbols, imports, local_types, symbols.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("extends").alias("kind")).limit(0))
     refs = stored(refs.withColumn("ref", F.concat_ws("|", "file", F.col("pos").cast("string"))).withColumn("family", family(F.col("language"))), "refs")
     symbols = stored(symbols, "symbols")
     imports = stored(imports, "imports")
@@ -96,18 +125,28 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, local_types
     member = symbols.where("parent IS NOT NULL").select(F.col("parent").alias("owner"), "name", F.col("id").alias("target"), F.col("kind").alias("def_kind"))
     chain = stored(scope_chain(symbols), "chain")
     parts: list[DataFrame] = []
-    take = lambda df, tier, resolver, confidence: parts.append(df.select("ref", "target", F.lit(tier).alias("tier"), F.lit(resolver).alias("resolver"), F.lit(float(confidence)).alias("confidence")))
+    take = lambda df, tier, resolver, confidence: parts.append(df.select("ref", "target", F.lit(float(tier)).alias("tier"), F.lit(resolver).alias("resolver"), F.lit(float(confidence)).alias("confidence")))
 
     # Innermost enclosing scope, class levels left out.
     near = bare.join(chain.where("NOT class_like"), bare.scope == chain.inner).join(member, ["owner", "name"])
     least = near.groupBy("ref").agg(F.min("depth").alias("depth"))
-    take(near.join(least, ["ref", "depth"]), 0, "scope", 1.0)
+    near = near.join(least, ["ref", "depth"])
+    late = F.col("language").isin(*IMPLICIT) & (F.col("owner") == F.col("file"))  # members come before the file's own
+    take(near.where(~late), 0, "scope", 1.0)
+    take(near.where(late), 0.6, "scope", 1.0)
     # Members of the class around, for self-qualified names.
     mine = dotted.where(F.col("qualifier").isin(*SELF)).join(chain.where("class_like"), dotted.scope == chain.inner)
     closure = stored(owners(symbols, supers), "owners")
     hits = mine.join(closure.withColumnRenamed("cls", "owner"), "owner").join(member.withColumnRenamed("owner", "via"), ["via", "name"])
     least = hits.groupBy("ref").agg(F.min("up").alias("up"))
     take(hits.join(least, ["ref", "up"]), 0, "receiver", 1.0)
+    # Members of a class around, own or inherited, that a bare name means.
+    around = bare.where(F.col("language").isin(*IMPLICIT)).join(chain.where("class_like"), bare.scope == chain.inner)
+    hits = around.join(closure.withColumnRenamed("cls", "owner"), "owner").join(member.withColumnRenamed("owner", "via"), ["via", "name"])
+    fits = F.when(F.col("kind").isin("value", "mention"), F.col("def_kind").isin(*PASSABLE_KINDS)).when(F.col("kind").isin("type", "extends", "implements", "new"), F.col("def_kind").isin(*CLASS_KINDS)).otherwise(F.lit(True))
+    hits = hits.where(fits)
+    least = hits.groupBy("ref").agg(F.min(F.struct("depth", "up")).alias("m")).select("ref", "m.*")
+    take(hits.join(least, ["ref", "depth", "up"]), 0.5, "receiver", 0.95)
     # What imports bring in, by name and through a module's alias.
     take(bare.join(bound, ["file", "name"]), 1, "import", 1.0)
     via = dotted.join(bound.select("file", F.col("name").alias("qualifier"), F.col("target").alias("owner")), ["file", "qualifier"]).join(member, ["owner", "name"])
@@ -132,6 +171,9 @@ def resolve(refs: DataFrame, symbols: DataFrame, imports: DataFrame, local_types
     for language, names in BUILTINS.items():
         builtin |= (F.col("language") == language) & F.col("name").isin(*names)
     loose = refs.where((F.length("name") >= SHORT) & ~F.col("name").isin(*COMMON) & ~builtin)
+    outside = stored(external(imports), "external")
+    by = lambda k: outside.select("file", F.col("name").alias(k))
+    loose = loose.where("qualifier = ''").join(by("name"), ["file", "name"], "left_anti").unionByName(loose.where("qualifier <> ''").join(by("qualifier"), ["file", "qualifier"], "left_anti"))
     named = defs.where("exported").groupBy("name", "family").agg(F.count("*").alias("m"), F.min("id").alias("target"))
     alone = loose.join(named.where("m = 1"), ["name", "family"])
     kinds = defs.select(F.col("id").alias("target"), F.col("kind").alias("def_kind"))

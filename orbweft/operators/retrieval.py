@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweft.session import stored
+
 #: Words that say nothing in a question.
 STOP = frozenset("a an the of to in on for and or is are was were be been being do does did how what where when which who whom why can could should would will shall may might must this that these those it its with without from by as at into about over under between through during before after above below up down out off again further then once here there all any both each few more most other some such no nor not only own same so than too very s t just now i me my we our you your he she they them their code function class method file module implement implemented implementation work works working use uses used using does define defined definition handle handles handled get set find show me tell explain describe list".split())
 #: Suffixes taken off a query term, the first that matches and leaves four letters.
@@ -34,7 +36,8 @@ def bm25(docs: DataFrame, id_col: str, fields: dict[str, float], phrases: list[t
     """id, score: the sum over phrases (term, is_prefix) of idf * f * (k1 + 1) / (f + k1 * (1 - b + b * D / avgD)).
 
     f adds each field's hits times its weight; idf = ln((N - n + .5) / (n + .5)), 1e-6 at least. Only the hits of the
-    phrases are kept from the tokens, so what is shuffled is as large as the answer, not the corpus.
+    phrases are kept from the tokens, so what is shuffled is as large as the answer, not the corpus. Each text is read and
+    split once: its length and hits are written, and both the statistics and the scores come from there.
     """
     words = F.array(*[tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields])
     sized = docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", "w", F.aggregate("w", F.lit(0), lambda a, x: a + F.size(x)).alias("dl"))
@@ -43,7 +46,7 @@ def bm25(docs: DataFrame, id_col: str, fields: dict[str, float], phrases: list[t
         hit = (lambda t: t.startswith(term)) if prefix else (lambda t: t == term)  # noqa: B023
         per = [F.size(F.filter(F.col("w")[i], hit)) * float(w) for i, w in enumerate(fields.values())]
         hits.append(sum(per[1:], per[0]))
-    scored = sized.select("id", "dl", *[h.alias(f"f{i}") for i, h in enumerate(hits)])
+    scored = stored(sized.select("id", "dl", *[h.alias(f"f{i}") for i, h in enumerate(hits)]), "hits")
     stats = scored.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"n{i}") for i in range(len(hits))])
     x = scored.where(" OR ".join(f"f{i} > 0" for i in range(len(hits)))).crossJoin(F.broadcast(stats))  # one row
     total = F.lit(0.0)
@@ -89,37 +92,40 @@ def cosine_topk(vectors: DataFrame, query: list[float], k: int, *, id_col: str =
 
 
 def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 1024) -> DataFrame:
-    """query, id, score: the k vectors most like each query (id, vec), itself left out.
+    """query, id, score, k: the k vectors most like each query (id, vec), itself left out; ties by id.
 
-    Queries are a stated set: they are dealt into blocks of bounded size, each task multiplies its vectors with a block
-    as matrices and keeps k a query, and the blocks' winners are merged.
+    Queries are a stated set. Both sides are dealt into blocks of about block rows by a hash of the id, every block of
+    vectors meets every block of queries, two blocks are multiplied as matrices, and of each only k a query go on.
     """
     import numpy as np
     import pandas as pd
 
-    rows = [(r.id, list(r.vec)) for r in queries.select("id", "vec").toLocalIterator()]
-    out = None
-    for i in range(0, len(rows), block):
-        part = rows[i : i + block]
-        names, q = np.array([r[0] for r in part]), np.array([r[1] for r in part], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(frames, names=names, q=q):
-            for f in frames:
-                v = np.array(f["vec"].tolist(), float).reshape(len(f), -1)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = q @ v.T
-                ids = f["id"].to_numpy()
+    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // block))
+        dealt = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name), F.struct("id", "vec").alias("r"))
+        return dealt.groupBy(name).agg(F.collect_list("r").alias(f"rows_{name}")), n
+
+    (q, n), (v, _) = blocks(queries, "q"), blocks(vectors, "v")
+    pairs = v.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(q, "q").select("rows_q", "rows_v")
+
+    def matrix(rows) -> tuple[np.ndarray, np.ndarray]:
+        m = np.array([np.asarray(r["vec"], float) for r in rows])
+        return np.array([r["id"] for r in rows]), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def run(frames):
+        for f in frames:
+            for a, b in zip(f["rows_q"], f["rows_v"], strict=True):
+                (names, x), (ids, y) = matrix(a), matrix(b)
+                s = x @ y.T
                 s[names[:, None] == ids[None, :]] = -np.inf
                 for j, name in enumerate(names):
-                    top = np.lexsort((ids, -s[j]))[: k + 1]
-                    top = top[np.isfinite(s[j][top])][:k]
+                    top = np.lexsort((ids, -s[j]))[:k]
+                    top = top[np.isfinite(s[j][top])]
                     yield pd.DataFrame({"query": name, "id": ids[top], "score": s[j][top]})
 
-        got = vectors.select("id", "vec").mapInPandas(run, "query long, id long, score double")
-        out = got if out is None else out.union(got)
+    got = pairs.mapInPandas(run, "query long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))
-    return out.withColumn("k", rank).where(F.col("k") <= k).select("query", "id", "score", "k")
+    return got.withColumn("k", rank).where(F.col("k") <= k).select("query", "id", "score", "k")
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, *, weight: float = 0.8) -> DataFrame:

@@ -6,6 +6,7 @@ it. Strings and comments are blanked first; a language is a row of patterns.
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass, field
 
@@ -77,12 +78,29 @@ def component(text: str, c: Collector) -> None:
     """A single-file component: a class of the file's name, its scripts, and the components that its markup uses."""
     name = c.path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
     top = c.define("class", name, None, 1, text.count("\n") + 1, f"<{name}>")
-    rest = text
+    rest, at = text, line_table(text)
     for m in re.finditer(r"<script\b[^>]*>(.*?)</script>", text, re.S | re.I):
         extract("\n" * text.count("\n", 0, m.start(1)) + m[1], c, _JS, outer=top)
         rest = rest.replace(m[0], re.sub(r"[^\n]", " ", m[0]))
     for m in re.finditer(r"<([A-Z]\w*)\b", rest):
-        c.refer("value", m[1], top, rest.count("\n", 0, m.start()) + 1)
+        c.refer("value", m[1], top, at(m.start()))
+
+
+def line_table(text: str):
+    """A function from a place in text to its line, from 1."""
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    return lambda i: bisect.bisect_right(starts, i)
+
+
+def pairs_of(bare: str) -> dict[int, int]:
+    """The place of the brace that closes each brace."""
+    out, open_ = {}, []
+    for m in re.finditer(r"[{}]", bare):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out
 
 
 def blanked(text: str, comment: str) -> str:
@@ -96,16 +114,14 @@ def extract(text: str, c: Collector, lang: Language, outer: str | None = None) -
     c.errors = max(c.errors, 1)
     code = blanked(text, lang.comment)
     bare = re.sub(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n]){2,}'|`(?:\\.|[^`\\])*`", lambda m: re.sub(r"[^\n]", " ", m[0]), code)
-    lines, starts = text.split("\n"), [0]
-    for x in lines:
-        starts.append(starts[-1] + len(x) + 1)
-    at = lambda i: text.count("\n", 0, i) + 1
+    lines, at = text.split("\n"), line_table(text)
+    closes = pairs_of(bare) if lang.nested == "braces" else {}
     found: list[tuple[int, str, str, re.Match]] = []
     if lang.types:
         words = "|".join(sorted(map(re.escape, lang.types.split("|")), key=len, reverse=True))
         for m in re.finditer(rf"(?<![\w.@])({words})\s+(?:class\s+)?(?:<[^>]*>\s*)?(\w[\w.:\\]*)", bare):
             kind = _CLASS.get(m[1].split()[0].lstrip("@").replace("mutable", "struct").replace("abstract", "interface").replace("implementation", "class").replace("defprotocol", "interface").replace("data", "struct").replace("newtype", "struct").replace("mod", "namespace") if m[1] not in _CLASS else m[1], "class")
-            if m[2] not in lang.keywords and not re.match(r"\s*[=)]?=", bare[m.end() :][:3] if kind != "type_alias" else ""):
+            if m[2] not in lang.keywords and not re.match(r"\s*[=)]?=", bare[m.end() : m.end() + 3] if kind != "type_alias" else ""):
                 found.append((m.start(), kind, m[2], m))
     if lang is LANGUAGES.get("go"):
         found = [(m.start(), "interface" if m[2] == "interface" else "struct" if m[2] == "struct" else "type_alias", m[1], m) for m in re.finditer(r"^type\s+(\w+)(?:\[[^\]]*\])?\s+(\w+)", bare, re.M)]
@@ -114,17 +130,19 @@ def extract(text: str, c: Collector, lang: Language, outer: str | None = None) -
         if name and name not in lang.keywords:
             found.append((m.start(), "function", name, m))
     if lang.variable:
-        taken = {(f[2], at(f[3].end() - 1)) for f in found}
+        taken = {f[2] for f in found}
         for m in re.finditer(lang.variable, bare, re.M):
-            if (m["name"], at(m.end() - 1)) not in taken and not any(f[2] == m["name"] for f in found):
+            if m["name"] not in taken:
+                taken.add(m["name"])
                 found.append((m.start(), "constant" if m["name"].isupper() else "variable", m["name"], m))
     found.sort(key=lambda f: f[0])
     scopes: list[tuple[int, int, str, str]] = []
-    for i, kind, name, m in found:
+    open_: list[tuple[int, int, str, str]] = []  # those that may hold what follows, as found goes by place
+    for _, kind, name, m in found:
         no = at(m.start() + len(m[0]) - len(m[0].lstrip()))
-        end = _end(bare, m, lang, lines, no)
-        stack = [s for s in scopes if s[0] < m.start() and no <= s[1]]
-        owner = max(stack, key=lambda s: s[0], default=None)
+        end = _end(bare, m, lang, lines, no, at, closes)
+        open_ = [s for s in open_ if no <= s[1]]
+        owner = max((s for s in open_ if s[0] < m.start()), key=lambda s: s[0], default=None)
         parent = owner[2] if owner else outer
         inner = owner is not None and owner[3] in ("class", "interface", "struct", "enum", "trait")
         if kind == "function" and inner:
@@ -147,10 +165,16 @@ def extract(text: str, c: Collector, lang: Language, outer: str | None = None) -
         hidden = "private" in modifiers or name.startswith("_") or lang is LANGUAGES["rust"] and "pub" not in modifiers or lang is LANGUAGES["go"] and not name[:1].isupper()
         fqn = c.define(kind, name, parent, no, end, head, clean_comment("\n".join(doc)), modifiers, not hidden, None, meta)
         scopes.append((m.start(), end, fqn, kind))
-        if kind in ("class", "interface", "struct", "enum", "trait") and (s := re.match(r"[^{;\n]*?" + lang.supers, bare[m.end(2) if m.re.groups > 1 else m.end() :].split("{")[0] + "{")):
+        open_.append(scopes[-1])
+        if kind in ("class", "interface", "struct", "enum", "trait") and (s := re.match(r"[^{;\n]*?" + lang.supers, _head(bare, m.end(2) if m.re.groups > 1 else m.end()))):
             for base in re.findall(r"[A-Z]\w*", re.sub(r"<[^<>]*>", "", s[1])):
                 c.refer("implements" if "implements" in s[0].split(base)[0] else "extends", base, fqn, no)
-    scope_of = lambda no: max((s for s in scopes if at(s[0]) <= no <= s[1] and s[3] not in ("variable", "constant", "field")), key=lambda s: s[0], default=(0, 0, outer, ""))[2]
+    around = [outer] * (len(lines) + 2)  # of scopes that hold a line, the one that begins last; of those the first found
+    for _, (start, end, fqn, kind) in sorted(enumerate(scopes), key=lambda x: (x[1][0], -x[0])):
+        if kind not in ("variable", "constant", "field"):
+            first = at(start)
+            around[first : end + 1] = [fqn] * max(0, end + 1 - first)
+    scope_of = around.__getitem__
     for pattern in lang.imports:
         for m in re.finditer(pattern, code, re.M):
             g = m.groupdict()
@@ -185,19 +209,22 @@ def extract(text: str, c: Collector, lang: Language, outer: str | None = None) -
                 c.define("test", m[1], None, at(m.start()))
 
 
-def _end(bare: str, m: re.Match, lang: Language, lines: list[str], no: int) -> int:
+def _head(bare: str, start: int) -> str:
+    """What stands before the next brace, and a brace."""
+    end = bare.find("{", start)
+    return bare[start : end if end >= 0 else len(bare)] + "{"
+
+
+_STOP = re.compile(r";|\n\s*\n")
+
+
+def _end(bare: str, m: re.Match, lang: Language, lines: list[str], no: int, at, closes: dict[int, int]) -> int:
     """Last line of what m opens."""
     if lang.nested == "braces":
         opens = bare.find("{", m.end() - 1)
-        semi = re.search(r";|\n\s*\n", bare[m.end() - 1 :])
-        if opens < 0 or (semi and m.end() - 1 + semi.start() < opens):
+        if opens < 0 or _STOP.search(bare, m.end() - 1, opens):
             return no
-        depth = 0
-        for k in re.finditer(r"[{}]", bare[opens:]):
-            depth += 1 if k[0] == "{" else -1
-            if depth == 0:
-                return bare.count("\n", 0, opens + k.start()) + 1
-        return len(lines)
+        return at(closes[opens]) if opens in closes else len(lines)
     indent = len(lines[no - 1]) - len(lines[no - 1].lstrip())
     for k in range(no, len(lines)):
         if lines[k].strip() and len(lines[k]) - len(lines[k].lstrip()) <= indent:

@@ -194,3 +194,58 @@ def test_scan_and_diff(spark, tmp_path):
     assert sorted((r.file, r.start, r.end) for r in ranges.collect()) == [("app/models.py", 1, 1), ("app/models.py", 29, 30)]
     symbols = ir.symbols(extracted(scan.scan(spark, str(tmp_path))))
     assert {r.id for r in scan.changed_symbols(ranges, symbols).collect()} == {"app/models.py", "app/models.py::Item.refresh"}
+
+
+def edges_of(spark, files):
+    records = extracted(spark.createDataFrame(list(files.items()), "path string, text string")).cache()
+    imports = resolve.import_targets(ir.imports(records), records.select("path"))
+    edges, unresolved = resolve.resolve(ir.references(records), ir.symbols(records), imports, ir.local_types(records))
+    return {(r.src, r.dst, r.kind): (r.resolver, r.confidence) for r in edges.collect()}, {(r.scope, r.name) for r in unresolved.collect()}
+
+
+def test_bare_names_mean_members(spark):
+    files = {
+        "A.java": "class Base {\n  void helper() { }\n}\nclass A extends Base {\n  void run() {\n    helper();\n  }\n}\n",
+        "b.rb": "class Dog\n  def bark\n    sound(1)\n  end\n  def sound(x)\n    x\n  end\nend\n",
+        "c.py": "class P:\n    def run(self):\n        helper_py()\n    def helper_py(self):\n        pass\n",
+    }
+    edges, _ = edges_of(spark, files)
+    assert edges["A.java::A.run", "A.java::Base.helper", "calls"] == ("receiver", 0.95)
+    assert edges["b.rb::Dog.bark", "b.rb::Dog.sound", "calls"] == ("receiver", 0.95)
+    assert ("c.py::P.run", "c.py::P.helper_py", "calls") not in edges or edges["c.py::P.run", "c.py::P.helper_py", "calls"][1] < 0.95
+
+
+def test_names_are_followed_through_files_and_stop_outside(spark):
+    files = {
+        "pkg/deep.py": "def worker_main():\n    pass\n",
+        "pkg/mid.py": "from pkg.deep import worker_main as middle\n",
+        "pkg/__init__.py": "from pkg.mid import *\n",
+        "use.py": "from pkg import middle\nfrom requests import fetch_all\n\ndef go():\n    middle()\n    fetch_all()\n",
+        "other.py": "def fetch_all():\n    pass\n",
+    }
+    edges, unresolved = edges_of(spark, files)
+    assert edges["use.py::go", "pkg/deep.py::worker_main", "calls"] == ("import", 1.0)
+    assert ("use.py::go", "other.py::fetch_all", "calls") not in edges and ("use.py::go", "fetch_all") not in unresolved
+
+
+def test_inherited_members_bind_without_given_supers(spark):
+    edges, _ = edges_of(spark, {"m.py": "class A:\n    def touch(self):\n        pass\n\nclass B(A):\n    def go(self):\n        self.touch()\n"})
+    assert edges["m.py::B.go", "m.py::A.touch", "calls"] == ("receiver", 1.0)
+
+
+def test_deep_scopes(spark):
+    text = "".join("    " * k + f"def f{k}():\n" for k in range(14)) + "    " * 14 + "f0()\n"
+    edges, _ = edges_of(spark, {"d.py": text})
+    inner = "d.py::" + ".".join(f"f{k}" for k in range(14))
+    assert edges[inner, "d.py::f0", "calls"] == ("scope", 1.0)
+
+
+def test_lexical_extraction_is_linear():
+    import time
+
+    body = "".join(f"class C{i} {{\n  m{i}(x) {{\n    return helper{i}(x, new D{i}());\n  }}\n}}\nfunction g{i}() {{ return C{i}.m{i}(1); }}\n" for i in range(12_000))
+    began = time.time()
+    r = extract("big.ts", body)
+    assert len(body) > 1_200_000 and len(r["definitions"]) > 30_000 and time.time() - began < 60
+    scopes = {x["name"]: x["scope"] for x in r["refs"] if x["name"].startswith("helper")}
+    assert scopes["helper11999"].endswith("C11999.m11999")
