@@ -59,8 +59,13 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def generated_name(path: Column) -> Column:
-    """Whether a path names built, minified or generated code."""
-    return path.rlike(r"\.min\.(js|css)$|[.-][0-9a-f]{8,}\.(js|css)$|(^|/)(chunk|vendor)[-.][^/]*\.js$|\.pb\.go$|_pb2(_grpc)?\.py$|\.g\.dart$|(^|/)generated/")
+    """Whether a path names built, minified or generated code: its folder, its suffix, a bundler's prefix, or a suffix that
+    looks like a hash, which is one that is not letters of a word alone."""
+    file = F.element_at(F.split(path, "/"), -1)
+    script = file.rlike(r"(?i)\.(m?js|cjs|css)$")
+    suffix = F.regexp_extract(file, r"(?i)[.-]([A-Za-z0-9_-]{6,})\.(?:m?js|cjs|css)$", 1)
+    built = file.rlike(r"(?i)\.(min|bundle)\.\w+$|^(chunk|vendors?|runtime|polyfills?)[-.]") | ((suffix != "") & ~suffix.rlike(r"(?i)^[a-z]+$"))
+    return path.rlike(r"(^|/)(generated|__generated__)/") | file.rlike(r"(?i)\.(g|freezed|pb)\.dart$|\.designer\.cs$") | (script & built)
 
 
 def generated_text(text: Column, path: Column) -> Column:

@@ -104,10 +104,11 @@ def forget(*written: DataFrame) -> None:
     for df in written:
         path = _AT.pop(df)
         _WRITTEN.remove(path)
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, uri: str) -> None:
+def delete(spark: SparkSession, uri: str) -> None:
+    """Remove a file or folder, wherever Spark can reach it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -115,4 +116,4 @@ def _delete(spark: SparkSession, uri: str) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete what stored() has written; results that still read it must be done with."""
     while _WRITTEN:
-        _delete(spark, _WRITTEN.pop())
+        delete(spark, _WRITTEN.pop())

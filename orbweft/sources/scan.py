@@ -10,9 +10,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orbweft.functions.text import generated_name
+
 MAX_BYTES = 1_500_000
-#: Folders that are never read.
-SKIPPED = (".git", "node_modules", "vendor", "dist", "build", "target", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".idea", ".vscode", "coverage", ".next", ".gradle", "Pods")
+#: Ignore lines that hold in every repository, before its own.
+DEFAULTS = (
+    ".git/", ".hg/", ".svn/", "node_modules/", "bower_components/", "vendor/", "dist/", "build/", "out/", "target/", ".next/", ".nuxt/", ".output/", ".turbo/", ".cache/", "coverage/",
+    "__pycache__/", ".venv/", "venv/", "env/", ".tox/", ".mypy_cache/", ".pytest_cache/", ".ruff_cache/", ".idea/", ".vscode/", "site/assets/", "public/assets/", "static/js/", "storybook-static/",
+    "*.min.js", "*.min.css", "*.map", "*.bundle.js", "*.bundle.css", "vendor.js", "*.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "*.generated.*", "*.pb.go", "*_pb2.py", "*.d.ts",
+)
 
 
 def ignore_pattern(line: str) -> tuple[str, bool] | None:
@@ -56,26 +62,42 @@ def ignored(path: F.Column, rules: list[tuple[str, str]]) -> F.Column:
     return out
 
 
+def forced(path: F.Column, rules: list[tuple[str, str]]) -> F.Column:
+    """Whether a negated rule takes a path in, whatever its name says."""
+    taken = [(folder, line[1:]) for folder, line in rules if line.startswith("!") and not line.startswith("!!")]
+    return ignored(path, taken)
+
+
+def inside(fs: pafs.FileSystem, top: str, path: str) -> bool:
+    """Whether a file of a local repository lies within it, links followed."""
+    if not isinstance(fs, pafs.LocalFileSystem):
+        return True
+    return os.path.realpath(path).startswith(os.path.realpath(top) + os.sep)
+
+
 def scan(spark: SparkSession, root: str, *, max_bytes: int = MAX_BYTES, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """path, size, modified, text of a repository's readable files.
 
     The listing comes first, as Spark's readers leave out names with a leading dot; sizes and names are filtered before
-    any content is read, and contents are read by the executors. Ignore files add to the rules given.
+    any content is read, and contents are read by the executors. Ignore files add to the rules given and to DEFAULTS. Names
+    of built or generated files are left out unless a rule takes them in; links that lead out of the repository are not
+    followed.
     """
     uri = root if "://" in root else f"file://{os.path.abspath(root)}"
     fs, top = pafs.FileSystem.from_uri(uri)
     top = top.rstrip("/") + "/"
-    found = [f for f in fs.get_file_info(pafs.FileSelector(top, recursive=True)) if f.is_file]
+    found = [f for f in fs.get_file_info(pafs.FileSelector(top, recursive=True)) if f.is_file and inside(fs, top, f.path)]
     listed = [(f.path.removeprefix(top), f.size, f.mtime) for f in sorted(found, key=lambda f: f.path)]
-    all_rules = list(rules or [])
+    all_rules = [*(("", x) for x in DEFAULTS), *(rules or [])]
     for path, _, _ in sorted(listed, key=lambda x: (x[0].count("/"), x[0])):
         if path.rsplit("/", 1)[-1] == ".gitignore":
             folder = str(PurePosixPath(path).parent)
             with fs.open_input_stream(top + path) as f:
                 all_rules += [("" if folder == "." else folder, x) for x in f.read().decode("utf-8", "replace").splitlines()]
     base = spark.createDataFrame(listed, "path string, size long, modified timestamp")
-    skipped = rf"(^|/)({'|'.join(map(re.escape, SKIPPED))})/"
-    kept = base.where((F.col("size") > 0) & (F.col("size") <= max_bytes) & ~F.col("path").rlike(skipped) & ~ignored(F.col("path"), all_rules))
+    path = F.col("path")
+    named = generated_name(path) & ~forced(path, all_rules)
+    kept = base.where((F.col("size") > 0) & (F.col("size") <= max_bytes) & ~ignored(path, all_rules) & ~named)
 
     def read(frames):
         own, below = pafs.FileSystem.from_uri(uri)

@@ -4,41 +4,77 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from orbweft.operators.relational import upserted
+from orbweft.session import delete
 
 QUIET_MS, MOST_MS = 400, 2000
 
 
-def upsert_stream(changes: DataFrame, spark: SparkSession, base: str, key: str) -> DataStreamWriter:
+#: Parts of a maintained table, by a hash of the key; a batch writes those anew that it touches.
+PARTS = 64
+
+
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(parts)).cast("int")
+
+
+def upsert_stream(changes: DataFrame, spark: SparkSession, base: str, key: str, *, parts: int = PARTS) -> DataStreamWriter:
     """A writer that replaces, batch by batch, every key of a stream of rows in the table at base.
 
-    Each batch writes a new version beside the old and then names it in a pointer table, so a batch that runs again
-    after a failure writes the same version once more and readers never see half of one.
+    The table has parts by a hash of the key. Each batch writes a new version of the parts that it touches and then names
+    them in a pointer table, so a batch that runs again after a failure writes the same once more and readers never see
+    half of one. Versions that no reader of the last two pointers needs are deleted.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        now = current(spark, base)
+        pointers = _pointers(spark, base)
         last = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), "version").alias("r")).select("r.*") if "version" in batch.columns else batch.dropDuplicates([key])
-        out = last if now is None else upserted(now, last.select(*now.columns), key)
-        out.write.mode("overwrite").parquet(f"{base}/v{number}")
-        spark.createDataFrame([(number,)], "number long").write.mode("append").parquet(f"{base}/versions")
+        last = last.withColumn("__part", _part(key, parts))
+        touched = [r[0] for r in last.select("__part").distinct().collect()]  # parts at most
+        now = _read(spark, base, {p: v for p, v in pointers.items() if p in touched and v != number})
+        out = last if now is None else upserted(now.withColumn("__part", _part(key, parts)), last.select(*now.columns, "__part"), key)
+        out.repartition("__part").write.mode("overwrite").partitionBy("__part").parquet(f"{base}/v{number}")
+        if touched:
+            spark.createDataFrame([(p, number) for p in touched], "part int, number long").coalesce(1).write.mode("append").parquet(f"{base}/versions")
+        old = [(p, v) for p, v in pointers.items() if p in touched and v < number]
+        for p, v in _before(spark, base, dict(old)):
+            delete(spark, f"{base}/v{v}/__part={p}")
 
     return changes.writeStream.foreachBatch(apply)
 
 
-def current(spark: SparkSession, base: str) -> DataFrame | None:
-    """The table's last whole version."""
+def _history(spark: SparkSession, base: str) -> DataFrame | None:
     try:
-        number = spark.read.parquet(f"{base}/versions").agg(F.max("number")).first()[0]
+        return spark.read.schema("part int, number long").parquet(f"{base}/versions")
     except Exception as e:  # Spark has one error class for what a path lacks
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         return None
-    return None if number is None else spark.read.parquet(f"{base}/v{number}")
+
+
+def _pointers(spark: SparkSession, base: str) -> dict[int, int]:
+    """The last version of each part."""
+    rows = _history(spark, base)
+    return {} if rows is None else {r[0]: r[1] for r in rows.groupBy("part").agg(F.max("number")).collect()}
+
+
+def _before(spark: SparkSession, base: str, last: dict[int, int]) -> list[tuple[int, int]]:
+    """Versions of parts that came before those given."""
+    rows = _history(spark, base)
+    return [] if rows is None or not last else [(r[0], r[1]) for r in rows.distinct().collect() if r[0] in last and r[1] < last[r[0]]]
+
+
+def _read(spark: SparkSession, base: str, pointers: dict[int, int]) -> DataFrame | None:
+    return spark.read.parquet(*[f"{base}/v{v}/__part={p}" for p, v in sorted(pointers.items())]) if pointers else None
+
+
+def current(spark: SparkSession, base: str) -> DataFrame | None:
+    """The table's last whole version; None where nothing was written."""
+    return _read(spark, base, _pointers(spark, base))
 
 
 def debounced(events: DataFrame, key: str, *, quiet_ms: int = QUIET_MS, most_ms: int = MOST_MS, late: str = "10 seconds") -> DataFrame:

@@ -249,3 +249,23 @@ def test_lexical_extraction_is_linear():
     assert len(body) > 1_200_000 and len(r["definitions"]) > 30_000 and time.time() - began < 60
     scopes = {x["name"]: x["scope"] for x in r["refs"] if x["name"].startswith("helper")}
     assert scopes["helper11999"].endswith("C11999.m11999")
+
+
+@pytest.mark.parametrize(("name", "made"), [("index-DrLLgu_7.js", True), ("main.a1b2c3d4.js", True), ("app-settings.js", False), ("chunk-XYZ.js", True), ("a.min.css", True), ("m.g.dart", True), ("F.designer.cs", True), ("lib/generated/a.py", True), ("gen/a.py", False), ("vendor-x.ts", False)])
+def test_generated_names(spark, name, made):
+    from orbweft.functions import text as fn
+
+    assert spark.createDataFrame([(name,)], "p string").select(fn.generated_name(F.col("p"))).first()[0] is made
+
+
+def test_scan_keeps_to_the_repository(spark, tmp_path):
+    (tmp_path / "out.py").write_text("x = 1\n")
+    root = tmp_path / "repo"
+    (root / "src").mkdir(parents=True)
+    for name in ("a.py", "b.min.js", "yarn.lock", "main.a1b2c3d4.js", "keep.a1b2c3d4.js", "t.d.ts"):
+        (root / "src" / name).write_text("1\n")
+    (root / ".gitignore").write_text("!src/keep.a1b2c3d4.js\n")
+    (root / "src" / "leak.py").symlink_to(tmp_path / "out.py")
+    (root / "src" / "same.py").symlink_to(root / "src" / "a.py")
+    got = {r.path for r in scan.scan(spark, str(root)).collect()}
+    assert got == {".gitignore", "src/a.py", "src/same.py", "src/keep.a1b2c3d4.js"}

@@ -13,6 +13,19 @@ def test_upserts_equal_the_last_version(spark, tmp_path):
         q.awaitTermination(120)
         assert q.exception() is None, k
     assert {(r.file, r.text) for r in maintain.current(spark, base).collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
+    assert maintain.current(spark, base).columns == ["file", "text", "version"]
+
+
+def test_only_touched_parts_are_written(spark, tmp_path):
+    src, base = tmp_path / "in", tmp_path / "table"
+    for k in range(4):
+        rows = [(f"f{i}", str(k)) for i in range(40 if k == 0 else 2)]
+        spark.createDataFrame(rows, "file string, text string").coalesce(1).write.mode("append").parquet(str(src))
+        q = maintain.upsert_stream(spark.readStream.schema("file string, text string").parquet(str(src)), spark, str(base), "file", parts=8).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    sizes = {v.name: len(list(v.glob("__part=*"))) for v in base.glob("v[0-9]*")}
+    assert sizes["v0"] <= 8 and sizes["v3"] <= 2 and sum(sizes.values()) <= 12
+    assert {r.file: r.text for r in maintain.current(spark, str(base)).collect()} == {f"f{i}": "3" if i < 2 else "0" for i in range(40)}
 
 
 def test_debounce(spark, tmp_path):
