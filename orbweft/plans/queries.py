@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orbweft.functions import text as fn
 from orbweft.operators import graph, relational, retrieval, search
 from orbweft.plans import order_graph as og
+from orbweft.plans import sample
 from orbweft.plans.registry import ORACLES, QUERIES
 from orbweft.session import stored, table
 
@@ -657,34 +658,32 @@ def find_symbol(spark, sf):
     return search.find_symbols(*part_symbols(spark, sf), "small_ring")
 
 
-# Source code: the engine's own, which every installation has
+# Source code: a small repository whose symbols and edges are told by hand
 
 
-def _own_sources(spark):
-    from orbweft import session
-    from orbweft.sources import scan
+def _records(spark):
+    from orbweft.session import ship
     from orbweft.sources.extract import extracted
 
-    session.ship(spark)
-    return stored(extracted(scan.scan(spark, str(session.ROOT / "orbweft")).where(~F.col("path").startswith("llm/"))), "records")
+    ship(spark)
+    return stored(extracted(spark.createDataFrame(list(sample.FILES.items()), "path string, text string")), "records")
 
 
-@query()
+@query(sample.values(sample.SYMBOLS, "id, kind, start_line, end_line"))
 def code_symbols(spark, sf):
-    """Definitions of the engine's own sources by kind."""
+    """Definitions of the sample repository."""
     from orbweft.sources import ir
 
-    return ir.symbols(_own_sources(spark)).groupBy("language", "kind").agg(F.count("*").alias("n"))
+    return ir.symbols(_records(spark)).where("kind <> 'module'").select("id", "kind", F.col("start_line").cast("int"), F.col("end_line").cast("int"))
 
 
-@query()
+@query(sample.values(sample.EDGES, "src, dst, kind, resolver, confidence"))
 def code_edges(spark, sf):
-    """References of the engine's own sources, resolved: edges by kind and provenance."""
+    """References of the sample repository, resolved."""
     from orbweft.operators import resolve
     from orbweft.sources import ir
 
-    records = _own_sources(spark)
-    symbols = ir.symbols(records)
+    records = _records(spark)
     imports = resolve.import_targets(ir.imports(records), records.select("path"))
-    edges, _ = resolve.resolve(ir.references(records), symbols, imports, ir.local_types(records))
-    return edges.groupBy("kind", "resolver").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    edges, _ = resolve.resolve(ir.references(records), ir.symbols(records), imports, ir.local_types(records))
+    return edges.select("src", "dst", "kind", "resolver", "confidence").distinct()
