@@ -70,11 +70,24 @@ def _norm(path: Column) -> Column:
     return path_norm(path)
 
 
-def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports with resolved: the first of the paths that exists; null where none does."""
+def import_targets(imports: DataFrame, files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+    """imports with resolved: the first of the paths that exists, those that the project's manifests (sources.manifest)
+    name before all others; null where none does. A folder that a manifest names stands for its first file."""
     key = ["file", "pos"]
-    each = import_candidates(imports).select(*key, F.posexplode("paths").alias("k", "path"))
-    first = each.join(files.select("path"), "path").groupBy(*key).agg(F.min_by("path", "k").alias("resolved"))
+    each = import_candidates(imports).select(*key, F.lit(1).alias("late"), F.posexplode("paths").alias("k", "path"))
+    known = files.select("path")
+    if manifest is not None:
+        from orbweft.sources.manifest import mapped
+
+        to = mapped(imports, manifest)
+        own = imports.join(to.withColumnRenamed("path", "__to"), key)
+        there = import_candidates(own.withColumn("source", F.col("__to"))).select(*key, "__to", "language", "paths")
+        index = F.array(*[F.concat("__to", F.lit(e)) for e in ("/src/index.ts", "/src/index.tsx", "/src/index.js", "/lib/index.js", "/index.mjs", ".php")])
+        paths = F.concat("paths", F.when(F.col("language") == "go", F.array().cast("array<string>")).otherwise(index))
+        each = each.union(there.select(*key, F.lit(0).alias("late"), F.posexplode(paths).alias("k", "path")))
+        first = known.groupBy(F.regexp_replace("path", r"/?[^/]*$", "").alias("__to")).agg(F.min(F.when(F.col("path").endswith(".go"), F.col("path"))).alias("path"))
+        each = each.union(own.where("language = 'go'").join(first, "__to").select(*key, F.lit(0).alias("late"), F.lit(0).alias("k"), "path"))
+    first = each.join(known, "path").groupBy(*key).agg(F.min_by("path", F.struct("late", "k", "path")).alias("resolved"))
     return imports.join(first, key, "left")
 
 

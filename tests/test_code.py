@@ -269,3 +269,33 @@ def test_scan_keeps_to_the_repository(spark, tmp_path):
     (root / "src" / "same.py").symlink_to(root / "src" / "a.py")
     got = {r.path for r in scan.scan(spark, str(root)).collect()}
     assert got == {".gitignore", "src/a.py", "src/same.py", "src/keep.a1b2c3d4.js"}
+
+
+def test_manifests_lead_imports(spark):
+    from orbweft.sources import manifest
+
+    files = {
+        "tsconfig.json": '{ // root\n "compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["lib/*"],}, /* x */ } }',
+        "apps/web/tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["./src/*"], "~one": ["./src/one.ts"]}}}',
+        "packages/ui/package.json": '{"name": "@shop/ui", "version": "1.0.0"}',
+        "packages/ui/src/index.ts": "export function paint() { }\n",
+        "packages/ui/src/theme.ts": "export const dark = 1;\n",
+        "lib/util.ts": "export function rooted() { }\n",
+        "apps/web/src/util.ts": "export function nested() { }\n",
+        "apps/web/src/one.ts": "export function single() { }\n",
+        "apps/web/main.ts": "import { nested } from '@/util';\nimport { paint } from '@shop/ui';\nimport { dark } from '@shop/ui/src/theme';\nimport { single } from '~one';\nimport fs from 'fs';\n",
+        "tools/t.ts": "import { rooted } from '@/util';\n",
+        "svc/go.mod": "module example.org/svc\n\ngo 1.22\n",
+        "svc/store/b.go": "package store\n\nfunc Save() {}\n",
+        "svc/store/a.go": "package store\n\nfunc Load() {}\n",
+        "svc/main.go": 'package main\n\nimport (\n\t"example.org/svc/store"\n\t"fmt"\n)\n',
+        "bad/package.json": "{nonsense",
+    }
+    df = spark.createDataFrame(list(files.items()), "path string, text string")
+    records = extracted(df)
+    got = {(r.file, r.source): r.resolved for r in resolve.import_targets(ir.imports(records), records.select("path"), manifest.read(df)).collect()}
+    assert got["apps/web/main.ts", "@/util"] == "apps/web/src/util.ts" and got["tools/t.ts", "@/util"] == "lib/util.ts"
+    assert got["apps/web/main.ts", "@shop/ui"] == "packages/ui/src/index.ts" and got["apps/web/main.ts", "@shop/ui/src/theme"] == "packages/ui/src/theme.ts"
+    assert got["apps/web/main.ts", "~one"] == "apps/web/src/one.ts" and got["apps/web/main.ts", "fs"] is None
+    assert got["svc/main.go", "example.org/svc/store"] == "svc/store/a.go" and got["svc/main.go", "fmt"] is None
+    assert manifest.facts("composer.json", '{"autoload": {"psr-4": {"App\\\\": "src/"}}}') == [("php", "", "App", "src")]
