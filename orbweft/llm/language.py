@@ -75,10 +75,29 @@ def terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return code
 
 
+def sliced(size: int, step: int):
+    """Parts of one text, each with the byte before it and the two after it: from, to, and where its own bytes lie."""
+    for a in range(0, size, step):
+        low = max(0, a - 1)
+        yield low, min(size, a + step + 2), a - low, min(step, size - a)
+
+
+def histogram(data: np.ndarray, step: int = SLICE) -> np.ndarray:
+    """Number of times one text has each hashed n-gram, taken in step bytes at a time."""
+    out = np.zeros(TERMS + 1, np.int64)
+    for low, high, at, n in sliced(len(data), step):
+        out += np.bincount(terms(data[low:high], np.array([0, high - low]))[at : at + n], minlength=TERMS + 1)
+    return out[:TERMS]
+
+
 def shares(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Share of each hashed n-gram, a row a text."""
     n = len(off) - 1
     out = np.zeros((n, TERMS), np.float32)
+    if n == 1 and len(data) > SLICE:
+        got = histogram(data)
+        out[0] = got / max(1, got.sum())
+        return out
     code = terms(data, off)
     for i in range(n):
         got = np.bincount(code[off[i] : off[i + 1]], minlength=TERMS + 1)[:TERMS]
@@ -134,6 +153,9 @@ class Model:
         return cls(languages, families, pairs, weights, bias)
 
     def margins(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        if len(off) == 2 and len(data) > SLICE:  # one long text
+            got = histogram(data)
+            return (got @ self.weights[:TERMS].astype(np.float64) / max(1, got.sum()) + self.bias)[None]
         code = terms(data, off)
         count = np.diff(np.concatenate([[0], np.cumsum(code < TERMS)])[off])
         out = np.empty((len(off) - 1, len(self.bias)))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweft.llm.arrays import flat, runs
-from orbweft.llm.language import folded, held_out
+from orbweft.llm.language import folded, held_out, sliced
 from orbweft.session import table
 
 BAD, GOOD = 800, 1400
@@ -51,6 +51,8 @@ def _hashed(x: np.ndarray, bits: int) -> np.ndarray:
 def counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Number of times each text has each term."""
     n, size = len(off) - 1, len(data)
+    if n == 1 and size > SLICE:
+        return long_counts(data, SLICE)[None]
     out = np.zeros(n * TERMS)
     if size < 3:
         return out.reshape(n, TERMS)
@@ -79,6 +81,48 @@ def counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_counts(data: np.ndarray, step: int) -> np.ndarray:
+    """counts() of one text of three bytes or more, taken in step bytes at a time."""
+    out = np.zeros(TERMS)
+    for low, high, at, n in sliced(len(data), step):
+        part = data[low:high]
+        for first, x in ((0, folded(part)), (LETTERS, _SHAPE[part])):
+            if len(x) > 2:
+                out[first : first + 1024] += np.bincount(_hashed(x, 10)[at : at + n], minlength=1024)
+    out[-1] = 3.0 * repeats(data, step)
+    return out
+
+
+def repeats(data: np.ndarray, step: int) -> int:
+    """Number of words that repeat the one before, by weighted sums of their bytes; a word may go on over many steps."""
+    found, before, part, size = 0, None, 0, 0
+    for i in range(0, len(data), step):
+        d = data[i : i + step].astype(np.int64) + 1
+        space = (d == 33) | (d == 11)
+        if size:  # a word is open
+            end = int(space.argmax()) if space.any() else len(d)
+            part += int((d[:end] * (np.arange(end) + size + 7)).sum())
+            size += end
+            if end == len(d):
+                continue
+            found += part == before
+            before, size = part, 0
+            d, space = d[end:], space[end:]
+        start = ~space
+        start[1:] &= space[:-1]
+        a = np.flatnonzero(start)
+        if not len(a):
+            continue
+        place = np.arange(len(d)) - np.concatenate([np.zeros(a[0], np.int64), np.repeat(a, np.diff([*a, len(d)]))]) + 7
+        sums = np.add.reduceat(np.where(space, 0, d * place), a)
+        if not space[-1]:
+            part, size, sums = int(sums[-1]), len(d) - int(a[-1]), sums[:-1]
+        if len(sums):
+            found += int((sums[1:] == sums[:-1]).sum()) + (before is not None and int(sums[0]) == before)
+            before = int(sums[-1])
+    return found + bool(size and part == before)
+
+
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Square roots of shares within letters, shapes and marks, times the weights; length 1."""
     total = c[:, :LETTERS].sum(1, keepdims=True)

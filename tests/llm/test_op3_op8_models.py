@@ -118,3 +118,22 @@ def test_rows_of_one_doc_id_are_learned_once(spark):
     df = spark.createDataFrame([(1, f"text {i}", "en") for i in range(500)] + [(2, "andere", "de")], "doc_id long, text string, lang string")
     got = language.sample(df, F.lit(True), 10, 20).collect()
     assert sorted((r.lang, r.text) for r in got) == [("de", "andere"), ("en", "text 0")]
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 50])
+def test_long_texts_are_counted_in_slices(step):
+    rng = random.Random(step)
+    texts = ["abc", "aa aa aa", "  x x\nx", "É" * 40, "one two two  two Three", " ", "abcdefghijkl" * 9] + ["".join(rng.choice("aAé1 \n.ab ") for _ in range(rng.randrange(3, 120))) for _ in range(60)]
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        off = np.array([0, len(data)])
+        if len(data) > 2:
+            assert (quality.long_counts(data, step) == quality.counts(data, off)[0]).all(), t
+        assert (language.histogram(data, step) == np.bincount(language.terms(data, off), minlength=language.TERMS + 1)[:-1]).all(), t
+    m = language.Model(["a", "b"], ["a", "b"], [], np.random.default_rng(0).normal(size=(language.TERMS + 1, 2)).astype(np.float32), np.zeros(2))
+    m.weights[-1] = 0
+    data = np.frombuffer(("word é " * 200_000).encode(), np.uint8)
+    off = np.array([0, len(data)])
+    assert len(data) > language.SLICE and np.allclose(m.margins(data, off), language.shares(data, off) @ m.weights[:-1] + m.bias, atol=1e-4)
+    two = np.array([0, len(data), len(data)])
+    assert np.allclose(m.margins(data, off)[0], m.margins(data, two)[0], atol=1e-4)
