@@ -4,7 +4,8 @@ Texts are sets of 64-bit hashes of their distinct five-word shingles. Texts with
 classes are compared. Two sets that link must share one of the first n - ceil(0.8 n) + 1 shingles of each in any one
 order of all shingles; the order here is (how common, hash), so that passages which many documents share come last. A
 tile is what shares such a shingle, banded by size: a pair is looked at only if its sizes allow a link. Of each pair the
-bits by which two hashed parity bitmaps differ bound the overlap from above; what passes is intersected exactly.
+bits by which two hashed parity bitmaps differ bound the overlap from above; what passes is intersected exactly, on sets
+made again from the texts, so that no set is kept of a class whose bitmaps refuse every pair.
 
 Within a tile pairs are taken in rounds: each class has a level, drawn from its hash, and a round takes the pairs whose
 higher level is the round's. Links found so far are contracted first, so classes already connected are never paired
@@ -40,6 +41,8 @@ SALTED = 4096
 HELD = 1 << 17
 #: Of classes, one in 16 ** level has that level, TOP at most; in tiles up to SMALL all have TOP.
 STEP_BITS, TOP, SMALL = 4, 7, 32
+#: Slots of the bitmaps that tell whose sets are made again, 2 MB each.
+FINE_BITS = 24
 #: Numbers of 64 bits of the bitmap that a tile's rows carry.
 MARKS = 8
 
@@ -175,8 +178,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def scan(texts: DataFrame) -> DataFrame:
-    """doc_id, n, cls of every row; and key, n of shingles that repeat within a window (is_doc false)."""
-    schema = pa.schema([("is_doc", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
+    """doc_id, n, cls, home of every row; and key, n of shingles that repeat within a window (is_doc false).
+
+    home is a hash of the text by which sets_of() finds the texts of a class again.
+    """
+    schema = pa.schema([("is_doc", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("home", pa.int64())])
 
     def run(batches):
         window: dict[int, np.ndarray] = {}
@@ -187,7 +193,7 @@ def scan(texts: DataFrame) -> DataFrame:
             window.clear()
             keys.sort()
             key, n = np.unique(keys[1:][keys[1:] == keys[:-1]], return_counts=True)
-            return batch(schema, np.zeros(len(key), bool), pa.nulls(len(key), pa.int64()), n + 1, key.view(np.int64))
+            return batch(schema, np.zeros(len(key), bool), pa.nulls(len(key), pa.int64()), n + 1, key.view(np.int64), pa.nulls(len(key), pa.int64()))
 
         for b in batches:
             n, cls = [], []
@@ -200,11 +206,11 @@ def scan(texts: DataFrame) -> DataFrame:
                     if size >= WINDOW:
                         yield repeats()
                         size = 0
-            yield batch(schema, np.ones(len(n), bool), b.column(0), n, cls)
+            yield batch(schema, np.ones(len(n), bool), b.column(0), n, cls, b.column(2))
         if window:
             yield repeats()
 
-    return texts.mapInArrow(run, "is_doc boolean, doc_id long, n long, cls long")
+    return texts.select("*", F.xxhash64("text")).mapInArrow(run, "is_doc boolean, doc_id long, n long, cls long, home long")
 
 
 def common_levels(repeats: DataFrame) -> np.ndarray:
@@ -317,19 +323,19 @@ def tiles(postings: DataFrame, percent: int = PERCENT, held_rows: int = HELD) ->
 
 
 def signatures(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, bits, items and marks of the wanted classes, once from each task that has them.
+    """cls, bits and marks of the wanted classes, once from each task that has them.
 
     A table of fixed size screens texts where they are read; what passes by chance costs room, not results.
     """
     sent = slots_of(wanted)
     names = [f"mark{i}" for i in range(MARKS)]
-    schema = pa.schema([("cls", pa.int64()), ("bits", pa.binary()), ("items", pa.binary()), *[(n, pa.int64()) for n in names]])
+    schema = pa.schema([("cls", pa.int64()), ("bits", pa.binary()), *[(n, pa.int64()) for n in names]])
 
     def run(batches):
         marked = np.unpackbits(sent.value).view(bool)
         seen: set[int] = set()
         for b in batches:
-            cls, bits, items, own, size = [], [], [], [], 0
+            cls, bits, own = [], [], []
             for s in column_sets(b.column(1)):
                 c = class_of(s)
                 if not c or c in seen or not marked[(c & (1 << 64) - 1) >> (64 - SLOT_BITS)]:
@@ -337,26 +343,69 @@ def signatures(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 seen.add(c)
                 cls.append(c)
                 bits.append(bitmap(s))
-                items.append(s.tobytes())
                 own.append(marks(s))
-                size += s.nbytes
-                if size > 1 << 23:
-                    yield batch(schema, cls, bits, items, *np.stack(own, 1))
-                    cls, bits, items, own, size = [], [], [], [], 0
             if len(seen) > 1 << 18:
                 seen.clear()
             if cls:
-                yield batch(schema, cls, bits, items, *np.stack(own, 1))
+                yield batch(schema, cls, bits, *np.stack(own, 1))
 
-    return texts.mapInArrow(run, "cls long, bits binary, items binary, " + ", ".join(f"{n} long" for n in names))
+    return texts.mapInArrow(run, "cls long, bits binary, " + ", ".join(f"{n} long" for n in names))
 
 
-def slots_of(classes: DataFrame):
-    """A bitmap of fixed size over the first bits of the classes, sent to the executors."""
-    slot = F.shiftrightunsigned("cls", 64 - SLOT_BITS)
-    found = np.zeros(1 << SLOT_BITS, bool)
-    found[classes.select(slot.cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
-    return classes.sparkSession.sparkContext.broadcast(np.packbits(found))
+def slots_of(hashes: DataFrame, column: str = "cls", slot_bits: int = SLOT_BITS):
+    """A bitmap of fixed size over the first bits of a column of hashes, sent to the executors."""
+    slot = F.shiftrightunsigned(column, 64 - slot_bits)
+    found = np.zeros(1 << slot_bits, bool)
+    found[hashes.select(slot.cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
+    return hashes.sparkSession.sparkContext.broadcast(np.packbits(found))
+
+
+def among(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes, signed numbers of 64 bits, have their slot of a packed bitmap set."""
+    slot = hashes.view(np.uint64) >> np.uint64(64 - (len(packed).bit_length() + 2))
+    return (packed[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def sets_of(texts: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cls, items of the classes of pairs, made again from the texts, once from each task that has them; written.
+
+    One bitmap tells of which rows the texts are taken in hand, another whose sets are kept; what passes by chance costs
+    time and room, not results.
+    """
+    schema = pa.schema([("cls", pa.int64()), ("items", pa.binary())])
+    wanted = slots_of(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))), "cls", FINE_BITS)
+
+    def at(batches):
+        for b in batches:
+            yield b.filter(pa.array(among(wanted.value, b.column(0).to_numpy()))).select([1])
+
+    homes = slots_of(rows.mapInArrow(at, "home long"), "home", FINE_BITS)
+
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            b = b.filter(pa.array(among(homes.value, b.column(0).to_numpy())))
+            cls, items, size = [], [], 0
+            for s in column_sets(b.column(1)):
+                c = class_of(s)
+                if not c or c in seen or not among(wanted.value, np.array([c]))[0]:
+                    continue
+                seen.add(c)
+                cls.append(c)
+                items.append(s.tobytes())
+                size += s.nbytes
+                if size > 1 << 23:
+                    yield batch(schema, cls, items)
+                    cls, items, size = [], [], 0
+            if len(seen) > 1 << 18:
+                seen.clear()
+            if cls:
+                yield batch(schema, cls, items)
+
+    out = stored(texts.select(F.xxhash64("text"), "text").mapInArrow(run, "cls long, items binary"), "items")
+    wanted.destroy()
+    homes.destroy()
+    return out
 
 
 def of_pairs(pairs: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -436,8 +485,8 @@ def level(cls: Column) -> Column:
     return out
 
 
-def links_of(texts: DataFrame, repeats: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """node, root of the classes that link with another; None where no two share a shingle.
+def links_of(texts: DataFrame, rows: DataFrame, repeats: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """node, root of the classes that link with another; None where no two share a shingle. rows: cls, home of the texts.
 
     A written table is deleted as soon as the one that replaces it is written.
     """
@@ -485,8 +534,12 @@ def links_of(texts: DataFrame, repeats: DataFrame, percent: int = PERCENT) -> Da
         pairs = stored(pairs, "pairs")
         likely = stored(bounded(pairs, known, percent), "likely")
         forget(pairs)
-        found = stored(verified(likely, known, percent), "links")
-        forget(likely)
+        if likely.isEmpty():
+            forget(likely)
+            continue
+        sets = sets_of(texts, rows, likely)
+        found = stored(verified(likely, sets, percent), "links")
+        forget(likely, sets)
         if not found.isEmpty():
             merged = components(found if links is None else links.union(found))
             if roots is not None:
@@ -503,7 +556,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = stored(scan(texts), "classes")
     rows = seen.where("is_doc").select("doc_id", "n", "cls")
-    roots = links_of(texts, seen.where("NOT is_doc"), percent)
+    roots = links_of(texts, seen.where("is_doc").select("cls", "home"), seen.where("NOT is_doc"), percent)
     if roots is not None:
         rows = rows.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     root = F.coalesce(F.col("root"), F.col("cls")) if roots is not None else F.col("cls")

@@ -133,3 +133,34 @@ def test_kept(spark):
     text = " ".join(f"w{i}" for i in range(100))
     df = spark.createDataFrame([(4, text), (2, text + " more"), (7, None), (8, "other"), (None, "n")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in J.kept(df).collect()) == ["2", "7", "8", "None"]
+
+
+def test_sets_are_kept_of_likely_pairs_alone(spark, monkeypatch):
+    """Texts that share a passage meet in tiles; only those whose bitmaps allow a link have their sets written."""
+    rng, kept = random.Random(5), []
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join(passage + [f"u{rng.randrange(10**9)}" for _ in range(60)])) for i in range(60)]
+    rows += [(100, rows[7][1] + " more"), (101, rows[7][1]), (102, None)]
+    write = J.stored
+
+    def stored(df, name, **more):
+        out = write(df, name, **more)
+        if "items" in out.columns:
+            kept.extend(r.cls for r in out.select("cls").collect())
+        return out
+
+    monkeypatch.setattr(J, "stored", stored)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert ours(df) == plain(rows)
+    import pyarrow as pa
+
+    likely = {J.class_of(s) for s in J.column_sets(pa.array([rows[7][1], rows[60][1]], pa.string()))}
+    assert len(likely) == 2 and set(kept) == likely
+
+
+def test_slots_are_found_again(spark):
+    hashes = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 3000)
+    df = spark.createDataFrame([(int(x),) for x in hashes[:1000]], "cls long")
+    for bits in (16, J.FINE_BITS):
+        got = J.among(J.slots_of(df, "cls", bits).value, hashes)
+        assert got[:1000].all() and got[1000:].mean() < 1100 / (1 << bits) + 0.02
