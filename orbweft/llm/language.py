@@ -16,7 +16,9 @@ learned from; repeated rows are predicted alike; an empty table gives an empty r
 
 from __future__ import annotations
 
+import bisect
 import itertools
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -105,24 +107,48 @@ def shares(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def svm(x: np.ndarray, sign: np.ndarray, c: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, by accelerated gradient steps; x has a row an example."""
-    n, d = x.shape
-    x = np.hstack([x, np.ones((n, 1), np.float32)])
+def svm(x: list[tuple[np.ndarray, np.ndarray]], c: float = 10.0, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, by accelerated gradient steps. x: parts of the examples, a row each, and
+    the signs of their rows; the parts are read where they lie, so that the sample is held once."""
+    n, d = sum(len(sign) for _, sign in x), x[0][0].shape[1]
+
+    def forth(part, v):
+        return part @ v[:d] + v[d]
+
+    def back(parts):
+        out = np.zeros(d + 1, np.float32)
+        for (part, _), u in zip(x, parts, strict=True):
+            out[:d] += u @ part
+            out[d] += u.sum()
+        return out
+
     v = np.ones(d + 1, np.float32)
     for _ in range(20):
-        v = x.T @ (x @ v)
+        v = back([forth(part, v) for part, _ in x])
         v /= np.linalg.norm(v)
-    rate = 1.0 / (1.0 + 2 * c / n * np.linalg.norm(x.T @ (x @ v)))
+    rate = np.float32(1.0 / (1.0 + 2 * c / n * np.linalg.norm(back([forth(part, v) for part, _ in x]))))
     w = ahead = np.zeros(d + 1, np.float32)
     for k in range(steps):
-        miss = np.maximum(0, 1 - sign * (x @ ahead))
-        step = ahead - rate * (ahead - 2 * c / n * (x.T @ (sign * miss)))
-        ahead = step + k / (k + 3) * (step - w)
+        step = ahead - rate * (ahead - np.float32(2 * c / n) * back([sign * np.maximum(0, 1 - sign * forth(part, ahead)) for part, sign in x]))
+        ahead = step + np.float32(k / (k + 3)) * (step - w)
         w = step
     return w[:-1], float(w[-1])
 
 
+def standardised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of each column; x itself becomes what lies between, over the root of its width."""
+    mean, spread = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    if len(x):
+        x.mean(0, out=mean)
+        x -= mean
+        for i in range(0, x.shape[1], 256):
+            spread[i : i + 256] = np.sqrt(np.square(x[:, i : i + 256]).mean(0))
+    spread += np.float32(1e-4)
+    x /= spread
+    x /= np.float32(np.sqrt(x.shape[1]))
+    return mean, spread
+
+
 @dataclass
 class Model:
     """Weights (TERMS + 1, columns) and biases: a column for each family, then one for each pair within a family."""
@@ -135,19 +161,19 @@ class Model:
 
     @classmethod
     def fit(cls, x: np.ndarray, labels: list[str]) -> Model:
+        """labels in order; x is overwritten."""
         languages = sorted(set(labels))
         families = sorted({family_of(k) for k in languages})
-        mean, spread = x.mean(0) if len(x) else np.zeros(TERMS, np.float32), (x.std(0) if len(x) else np.zeros(TERMS)) + 1e-4
-        z = ((x - mean) / spread).astype(np.float32) / np.sqrt(TERMS)
-        y, fam = np.array(labels, object), np.array([family_of(k) for k in labels], object)
+        mean, spread = standardised(x)
+        own = {k: x[bisect.bisect_left(labels, k) : bisect.bisect_right(labels, k)] for k in languages}
         pairs = [p for f in families for p in itertools.combinations([k for k in languages if family_of(k) == f], 2)]
         weights = np.zeros((TERMS + 1, len(families) + len(pairs)), np.float32)
         bias = np.zeros(weights.shape[1])
-        for k, (rows, yes) in enumerate([*((np.ones(len(y), bool), fam == f) for f in families), *(((y == a) | (y == b), y == a) for a, b in pairs)]):
+        for k, yes in enumerate([*({j: family_of(j) == f for j in languages} for f in families), *({a: True, b: False} for a, b in pairs)]):
             if k < len(families) and len(families) == 1:
                 bias[k] = 1.0
                 continue
-            w, b = svm(z[rows], np.where(yes[rows], 1.0, -1.0).astype(np.float32))
+            w, b = svm([(own[j], np.full(len(own[j]), 1.0 if good else -1.0, np.float32)) for j, good in yes.items()])
             w = w / spread / np.sqrt(TERMS)
             weights[:TERMS, k], bias[k] = w, b - float(mean @ w)
         return cls(languages, families, pairs, weights, bias)
@@ -200,11 +226,13 @@ def train(docs: DataFrame, allowed: Column) -> Model:
             data, off = flat(b.column(1))
             for i, j in runs(off, SLICE):
                 x = shares(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([zlib.compress(r, 1) for r in x], pa.binary())], ["lang", "x"])
 
     rows = sample(docs, allowed).mapInArrow(run, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, TERMS)
+    x = np.empty((len(rows), TERMS), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(zlib.decompress(r.x), np.float32)
     return Model.fit(x, [r.lang for r in rows])
 
 

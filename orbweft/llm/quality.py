@@ -18,6 +18,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,10 +127,10 @@ def repeats(data: np.ndarray, step: int) -> int:
 def weighted(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Square roots of shares within letters, shapes and marks, times the weights; length 1."""
     total = c[:, :LETTERS].sum(1, keepdims=True)
-    x = (c / np.maximum(total, 1)).astype(np.float32)
+    x = (c / np.maximum(total, 1)).astype(np.float32, copy=False)
     np.sqrt(x, out=x)
     x *= idf.astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
     return x
 
 
@@ -142,6 +143,24 @@ def nearest(near: np.ndarray, k: int) -> np.ndarray:
     return pick
 
 
+def leading(gram: np.ndarray, rank: int, more: int = 80, steps: int = 200) -> np.ndarray:
+    """The rank leading eigenvectors of a symmetric matrix without negative eigenvalues, by orthogonal iteration on some
+    more of them until they stay where they are; nothing as large as the matrix is made besides it."""
+    n = len(gram)
+    axes = np.linalg.qr(np.random.default_rng(0).standard_normal((n, min(n, rank + more))).astype(gram.dtype))[0]
+    for k in range(steps):
+        ahead = gram @ axes
+        if k % 10 == 9:
+            values, turn = np.linalg.eigh(axes.T @ ahead)
+            turn = turn[:, ::-1][:, :rank]
+            apart = np.linalg.norm(ahead @ turn - axes @ turn * values[::-1][:rank])
+            if apart <= 1e-5 * max(values[-1], 1e-30):
+                return axes @ turn
+        axes = np.linalg.qr(ahead)[0]
+    turn = np.linalg.eigh(axes.T @ (gram @ axes))[1]
+    return axes @ turn[:, ::-1][:, :rank]
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -159,8 +178,7 @@ class Model:
         idf = np.log((1 + n) / (1 + (c > 0).sum(0))) + 0.2
         idf[LETTERS:] *= 2.0
         x = weighted(c, idf)
-        values, vectors = np.linalg.eigh(x.T @ x)
-        axes = vectors[:, np.argsort(values)[::-1][:RANK]].astype(np.float32)
+        axes = leading(x.T @ x, RANK)
         v = x @ axes
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         own = np.array([max(1, (labels == k).sum()) for k in (0, 1)], float)
@@ -204,13 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
     def run(batches):
         for b in batches:
             for x, y, z in zip(b.column(0), b.column(1), (r for c in text_counts(b.column(2)) for r in c), strict=True):
-                yield pa.RecordBatch.from_pydict({"doc_id": [x.as_py()], "quality": [y.as_py()], "c": [z.astype(np.float32).tobytes()]}, schema=pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("c", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"doc_id": [x.as_py()], "quality": [y.as_py()], "c": [zlib.compress(z.astype(np.float32), 1)]}, schema=pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("c", pa.binary())]))
 
     got = rows.withColumn("quality", F.col("quality").cast("int")).mapInArrow(run, "doc_id long, quality int, c binary").collect()
     got.sort(key=lambda r: r.doc_id)
     c = np.empty((len(got), TERMS), np.float32)
     for i, r in enumerate(got):
-        c[i] = np.frombuffer(r.c, np.float32)
+        c[i] = np.frombuffer(zlib.decompress(r.c), np.float32)
     return Model.fit(c, np.array([r.quality for r in got], int), shares)
 
 

@@ -137,3 +137,40 @@ def test_long_texts_are_counted_in_slices(step):
     assert len(data) > language.SLICE and np.allclose(m.margins(data, off), language.shares(data, off) @ m.weights[:-1] + m.bias, atol=1e-4)
     two = np.array([0, len(data), len(data)])
     assert np.allclose(m.margins(data, off)[0], m.margins(data, two)[0], atol=1e-4)
+
+
+def _grown(fit) -> float:
+    """MB by which this process's memory peaks while fit runs, beyond what it has before."""
+    from pathlib import Path
+
+    def kb(name):
+        return int(Path("/proc/self/status").read_text().split(f"{name}:")[1].split()[0])
+
+    Path("/proc/self/clear_refs").write_text("5")
+    before = kb("VmRSS")
+    fit()
+    return (kb("VmHWM") - before) / 1024
+
+
+def test_training_holds_its_sample_once():
+    rng = np.random.default_rng(3)
+    labels = sorted(["de", "en", "es", "fr"] * 400)
+    x = rng.random((len(labels), language.TERMS), dtype=np.float32)  # 25 MB
+    assert _grown(lambda: language.Model.fit(x, labels)) < 15
+    c = rng.poisson(1.0, (quality.BAD + quality.GOOD, quality.TERMS)).astype(np.float32)  # 17 MB, as the matrix of its terms
+    marks = np.repeat([0, 1], [quality.BAD, quality.GOOD])
+    assert _grown(lambda: quality.Model.fit(c, marks, {0: 1, 1: 1})) < 60
+
+
+def test_leading_axes_are_those_of_the_whole_decomposition():
+    rng = np.random.default_rng(5)
+    for n, rows in ((300, 400), (300, 20), (40, 400)):
+        x = (rng.standard_normal((rows, n)) * 0.97 ** np.arange(n)).astype(np.float32)
+        gram = x.T @ x
+        values, vectors = np.linalg.eigh(gram.astype(np.float64))
+        own = quality.leading(gram, 48)
+        rank = min(48, n, rows)
+        assert own.shape == (n, min(48, n)) and own.dtype == np.float32
+        np.testing.assert_allclose(own.T @ own, np.eye(own.shape[1]), atol=1e-4)
+        np.testing.assert_allclose(np.square(x @ own).sum(), values[::-1][:rank].sum(), rtol=1e-4)
+        assert np.abs(np.linalg.svd(vectors[:, ::-1][:, :rank].T @ own)[1][:rank] - 1).max() < 1e-2
