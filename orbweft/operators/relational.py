@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbweft.session import stored
+
 
 def changes(known: DataFrame, listed: DataFrame, key: str, size: str, mark: str) -> DataFrame:
     """key, state of a listing against what is known: new, deleted, same, touched (equal hash) or changed."""
@@ -38,17 +43,41 @@ def innermost(points: DataFrame, ranges: DataFrame, *, width: int = 64) -> DataF
     return points.join(best, ["from_", "to_"]).groupBy("point_id").agg(F.min("m").alias("m")).select("point_id", "m.range_id")
 
 
-def cascade(refs: DataFrame, tiers: list[tuple[DataFrame, list[str], str, float]], ref: str) -> DataFrame:
+def cascade(refs: DataFrame, tiers: list[tuple[DataFrame, list[str], str, float, bool]], ref: str, *, pairs: int = 4 << 20) -> DataFrame:
     """ref, target, tier, resolver, confidence: every target of the first tier that has any for the ref.
 
-    tiers are (candidates with target, join columns, resolver, confidence) in order; a tier may bind several targets.
+    refs hold ref and the join columns, one row each; tiers are (candidates with target and join columns, join columns,
+    resolver, confidence, whether a ref may be its own target) in order; a tier may bind several targets. A tier looks
+    only at refs that no earlier one has bound, which the candidates' counts by key tell without listing any pair, so
+    the join makes just the rows of the result. A key with more than about pairs of them is dealt over several tasks.
     """
-    out = None
-    for k, (found, on, resolver, confidence) in enumerate(tiers):
-        part = refs.join(found, on).select(ref, "target", F.lit(k).alias("tier"), F.lit(resolver).alias("resolver"), F.lit(confidence).alias("confidence"))
-        out = part if out is None else out.union(part)
-    first = out.groupBy(ref).agg(F.min("tier").alias("tier"))
-    return out.join(first, [ref, "tier"]).select(ref, "target", "tier", "resolver", "confidence").distinct()
+    spark = refs.sparkSession
+    left, out = stored(refs.distinct(), "refs"), None
+    for k, (found, on, resolver, confidence, own) in enumerate(tiers):
+        keys = [F.col(c).isNotNull() for c in on]
+        found = stored(found.where(reduce(and_, keys)).select(*on, "target").where("target IS NOT NULL").distinct(), "targets")
+        counts = found.groupBy(*on).agg(F.count("*").alias("m"), F.min("target").alias("only"))
+        bound = left.join(counts, on).where(F.lit(True) if own else (F.col("m") > 1) | (F.col("only") != F.col(ref)))
+        bound = stored(bound.select(ref, *on), "bound")
+        many = bound.groupBy(*on).agg(F.count("*").alias("n")).join(counts.select(*on, "m"), on)
+        many = stored(many.select(*on, F.ceil(F.col("n") * F.col("m") / pairs).cast("int").alias("shares"), (F.col("n") * F.col("m")).alias("pairs")), "many")
+        total = many.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+        if total:
+            n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // pairs))  # few rows, many pairs: not to be coalesced
+            share = F.pmod(F.xxhash64(ref), F.col("shares")).cast("int").alias("share")
+            mine = bound.join(many, on).select(ref, *on, share).repartition(n, *on, "share")
+            theirs = found.join(many, on).select("target", *on, F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).repartition(n, *on, "share")
+            part = mine.join(theirs, [*on, "share"])
+            part = part if own else part.where(F.col(ref) != F.col("target"))
+            part = part.select(ref, "target", F.lit(k).alias("tier"), F.lit(resolver).alias("resolver"), F.lit(confidence).alias("confidence"))
+            out = part if out is None else out.union(part)
+            left = stored(left.join(bound.select(ref), ref, "left_anti"), "refs")
+            if left.isEmpty():
+                break
+    if out is None:
+        target = tiers[0][0].select("target") if tiers else refs.select(F.col(ref).alias("target"))
+        out = refs.select(ref).limit(0).join(target, F.lit(False)).select(ref, "target", F.lit(0).alias("tier"), F.lit("").alias("resolver"), F.lit(0.0).alias("confidence"))
+    return out
 
 
 def sessions(events: DataFrame, key: str, ts: str, tie: str, *, gap_us: int, most_us: int) -> DataFrame:
