@@ -2,7 +2,7 @@
 
 import random
 
-from orbweft.operators import relational
+from orbweft.operators import graph, relational
 from orbweft.plans.queries import QUERIES
 
 
@@ -52,3 +52,24 @@ def test_tiers_by_brute_force(spark):
         rows = relational.cascade(r, tiers, "ref", pairs=pairs).collect()
         assert sorted((x.ref, x.target, x.tier) for x in rows) == sorted((x, *u) for x, us in want.items() for u in us)
     assert relational.cascade(r.limit(0), tiers, "ref").collect() == []
+
+
+def written(monkeypatch, module):
+    """Rows of what the module stores, by name."""
+    rows, stored = {}, module.stored
+
+    def noted(df, name, **more):
+        out = stored(df, name, **more)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "stored", noted)
+    return rows
+
+
+def test_closure_goes_on_from_parents_alone(spark, monkeypatch):
+    rows = written(monkeypatch, graph)
+    pairs = [(f"leaf:{i}", f"n:{i % 2}") for i in range(500)] + [("n:0", "root"), ("n:1", "root"), ("root", "n:1"), ("root", None)]
+    got = {(r.child, r.ancestor): r.depth for r in graph.closure(spark.createDataFrame(pairs, "child string, parent string")).collect()}
+    assert len(got) == 500 + 3 + 500 + 250 + 1 and got["leaf:0", "n:1"] == 3 and got["n:0", "n:1"] == 2
+    assert rows["up"] == [3]
