@@ -73,3 +73,22 @@ def test_closure_goes_on_from_parents_alone(spark, monkeypatch):
     got = {(r.child, r.ancestor): r.depth for r in graph.closure(spark.createDataFrame(pairs, "child string, parent string")).collect()}
     assert len(got) == 500 + 3 + 500 + 250 + 1 and got["leaf:0", "n:1"] == 3 and got["n:0", "n:1"] == 2
     assert rows["up"] == [3]
+
+
+def test_load_looks_for_unknown_ends(spark, monkeypatch):
+    rng = random.Random(6)
+    ids = [f"n{i}" for i in range(30)] + [None]
+    nodes = [(f"n{i}", rng.choice([None, "n1", "n99", f"n{i}"]), i % 5 == 0) for i in range(20)]
+    edges = [(rng.choice(ids), rng.choice(ids), rng.choice(["calls", "tests"])) for _ in range(200)]
+    n = spark.createDataFrame(nodes, "id string, parent string, is_test boolean")
+    e = spark.createDataFrame(edges, "src string, dst string, kind string")
+    for skip in (False, True):
+        own = [x for x in nodes if not (skip and x[2])]
+        known = {x[0] for x in own}
+        want = sorted((a, b, k) for a, b, k in edges + [(p, i, "contains") for i, p, _ in own] if a != b and a in known and b in known)
+        for limit in (graph.FEW, 0):
+            monkeypatch.setattr(graph, "FEW", limit)
+            rows = written(monkeypatch, graph)
+            assert sorted((r.src, r.dst, r.kind) for r in graph.load(n, e, skip_tests=skip).collect()) == want
+            assert rows["unknown"] == [len({x for a, b, _ in edges + [(p, i, "") for i, p, _ in own] if a != b and a and b for x in (a, b)} - known)]
+            monkeypatch.undo()
