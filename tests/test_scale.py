@@ -92,3 +92,30 @@ def test_load_looks_for_unknown_ends(spark, monkeypatch):
             assert sorted((r.src, r.dst, r.kind) for r in graph.load(n, e, skip_tests=skip).collect()) == want
             assert rows["unknown"] == [len({x for a, b, _ in edges + [(p, i, "") for i, p, _ in own] if a != b and a and b for x in (a, b)} - known)]
             monkeypatch.undo()
+
+
+def test_ranks_take_as_many_steps_as_the_longest_path(spark, monkeypatch):
+    rows = written(monkeypatch, graph)
+    nodes = [chr(97 + i) for i in range(7)]
+    edges = [("a", "b", 1.0), ("a", "b", 2.0), ("b", "c", 1.0), ("a", "c", 1.0), ("c", "d", 2.0), ("e", "d", 0.5)]
+    cycle = [("d", "a", 1.0)]
+    share = {x: (0.75 if x == "e" else 0.25 if x == "a" else 0.0) for x in nodes}
+    n = spark.createDataFrame([(x,) for x in nodes], "id string")
+    restart = spark.createDataFrame([("a", 0.25), ("e", 0.75)], "id string, share double")
+    for rounds in (0, 1, 3, 10):
+        for more in ([], cycle):
+            e = spark.createDataFrame(edges + more, "src string, dst string, weight double")
+            for start, own in ((None, dict.fromkeys(nodes, 1 / 7)), (restart, share)):
+                rows.clear()
+                got = {r.id: r.rank for r in graph.pagerank(n, e, rounds=rounds, tolerance=None, restart=start).collect()}
+                total, want = {}, dict(own)
+                for a, _, w in edges + more:
+                    total[a] = total.get(a, 0) + w
+                for _ in range(rounds):
+                    spare = sum(want[x] for x in nodes if x not in total)
+                    after = {x: (0.15 + 0.85 * spare) * own[x] for x in nodes}
+                    for a, b, w in edges + more:
+                        after[b] += 0.85 * want[a] * w / total[a]
+                    want = after
+                assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in nodes)
+                assert more or len(rows.get("term", [])) <= 4  # a b c d, and one that is empty
