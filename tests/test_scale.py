@@ -2,7 +2,7 @@
 
 import random
 
-from orbweft.operators import graph, relational
+from orbweft.operators import graph, relational, retrieval
 from orbweft.plans.queries import QUERIES
 
 
@@ -119,3 +119,15 @@ def test_ranks_take_as_many_steps_as_the_longest_path(spark, monkeypatch):
                     want = after
                 assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in nodes)
                 assert more or len(rows.get("term", [])) <= 4  # a b c d, and one that is empty
+
+
+def test_neighbours_by_nine_digits_and_id(spark):
+    rows = [(i, [1.0, (20 - i) * 1e-6, 0.0]) for i in range(20)] + [(i, [1.0, 0.0, 0.5]) for i in range(20, 40)] + [(40, [0.0, 0.0, 0.0]), (41, [1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    for block in (1, 5, 1024):
+        hits = retrieval.cosine_topk_batch(v, v.where("id IN (0, 30, 41)"), 6, block=block)
+        got = {q: [r.id for r in sorted(hits.collect(), key=lambda r: r.k) if r.query == q] for q in (0, 30, 41)}
+        assert got == {0: [1, 2, 3, 4, 5, 6], 30: [20, 21, 22, 23, 24, 25], 41: [0, 1, 2, 3, 4, 5]}, block
+    few = retrieval.cosine_topk_batch(v.where("id < 3"), v.where("id < 2"), 6).collect()
+    assert sorted((r.query, r.id, r.k) for r in few) == [(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2)]
+    assert retrieval.cosine_topk_batch(v.limit(0), v.limit(0), 6).count() == 0
