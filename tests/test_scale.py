@@ -131,3 +131,23 @@ def test_neighbours_by_nine_digits_and_id(spark):
     few = retrieval.cosine_topk_batch(v.where("id < 3"), v.where("id < 2"), 6).collect()
     assert sorted((r.query, r.id, r.k) for r in few) == [(0, 1, 1), (0, 2, 2), (1, 0, 1), (1, 2, 2)]
     assert retrieval.cosine_topk_batch(v.limit(0), v.limit(0), 6).count() == 0
+
+
+def test_impact_merges_only_what_the_front_meets(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(25), rng.randrange(25), rng.choice([0.3, 0.5, 1.0])) for _ in range(60)] * 2
+    seen, front = {3: (0, 1.0)}, {3: 1.0}
+    for d in (1, 2, 3):
+        step = {}
+        for a, b, w in edges:
+            if b in front and a not in seen:
+                step[a] = max(step.get(a, 0), front[b] * w * (1 if d == 1 else 0.6))
+        front, seen = step, seen | {a: (d, s) for a, s in step.items()}
+    e = spark.createDataFrame([(str(a), str(b), "calls", w) for a, b, w in edges], "src string, dst string, kind string, weight double")
+    for limit in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", limit)
+        rows = written(monkeypatch, graph)
+        got = {int(r.id): (r.depth, round(r.score, 9)) for r in graph.impact(e, spark.createDataFrame([("3", 1.0)], "id string, score double")).collect()}
+        assert got == {a: (d, round(s, 9)) for a, (d, s) in seen.items() if d}
+        assert set(rows) == {"front"}
+        monkeypatch.undo()
