@@ -151,3 +151,18 @@ def test_impact_merges_only_what_the_front_meets(spark, monkeypatch):
         assert got == {a: (d, round(s, 9)) for a, (d, s) in seen.items() if d}
         assert set(rows) == {"front"}
         monkeypatch.undo()
+
+
+def test_candidates_meet_only_edges_to_candidates(spark, monkeypatch):
+    rng = random.Random(2)
+    sites = [(f"s{rng.randrange(9)}", line, [f"t{j}" for j in rng.sample(range(6), rng.randrange(1, 5))] + ["gone", "s1"][: line % 3]) for line in range(40)]
+    edges = [(f"s{rng.randrange(9)}", f"t{rng.randrange(60)}", rng.randrange(40)) for _ in range(3000)]
+    targets = [f"t{j}" for j in range(60)] + ["s1"]
+    want = sorted((s, t, n, max(0.1, round(1 / len(c), 2))) for s, n, c in sites for t in c if t in targets and t != s and (s, t, n) not in set(edges))
+    frames = (spark.createDataFrame(sites, "scope string, line int, candidates array<string>"), spark.createDataFrame(edges, "src string, dst string, line int"), spark.createDataFrame([(t,) for t in targets], "id string"))
+    for limit in (graph.FEW, 0):
+        monkeypatch.setattr(graph, "FEW", limit)
+        rows = written(monkeypatch, graph)
+        assert sorted(tuple(r) for r in graph.candidate_callers(*frames).collect()) == want
+        assert rows["known"] == [7] and rows["seen"] == [len({e for e in edges if int(e[1][1:]) < 6})]
+        monkeypatch.undo()
